@@ -1,0 +1 @@
+"""Operators on training text. Nothing outside this subpackage imports it."""
