@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordweave.llm import leakage, packing, residue
+from recordweave.llm import leakage, names, packing, residue
 from recordweave.sources.tables import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.resolve(table(spark, d, "resolutions"), table(spark, d, "companies"))
+
+
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "containers"))
 
@@ -23,6 +27,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
     "p7_packing": p7_packing,
     "p8_found": p8_found,
     "p9_found": p9_found,
