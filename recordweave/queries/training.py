@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recordweave.operators import changefeed, lateness, pointintime, references
+from recordweave.operators import changefeed, drift, lateness, pointintime, references
 from recordweave.sources.tables import table
 
 
@@ -14,6 +15,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.p1_found(table(spark, d, "record_events"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.p2_found(table(spark, d, "entities"), table(spark, d, "schemas"))
+
+
+def p2_trades(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent table of trades, failed casts joined to one text."""
+    found = drift.consistent_table(table(spark, d, "entities"), table(spark, d, "schemas"), "trade")
+    return found.withColumn("failed_casts", F.array_join("failed_casts", ",")).drop("other")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lateness.late_events(table(spark, d, "record_events"))
 
@@ -32,6 +43,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_trades": p2_trades,
     "p4_found": p4_found,
     "p4_triangle": p4_triangle,
     "p5_found": p5_found,
@@ -70,6 +83,14 @@ WITH f AS ({_FIRST}),
  tail AS (SELECT entity_id, arg_max(id, ord) AS last_event_id FROM data GROUP BY 1)
 SELECT entity_id, status, expected_rate, n_fields, last_event_id FROM docs JOIN tail USING (entity_id)
 WHERE entity_id NOT IN (SELECT entity_id FROM gone)
+""",
+    "p2_trades": """
+WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_event_seq DESC) AS rn FROM entities) WHERE rn = 1 AND type = 'trade')
+SELECT id, CAST(schema_version AS BIGINT) AS version, doc->>'source_key' AS source_key, doc->>'security_id' AS security_id, doc->>'account' AS account, doc->>'side' AS side,
+       CAST(coalesce(doc->>'executed_at', doc->>'traded_at') AS DATE) AS executed_at, CAST(doc->>'units' AS DOUBLE) AS units, CAST(doc->>'price' AS DOUBLE) AS price,
+       CAST(doc->>'amount' AS BIGINT) AS amount, CAST(doc->>'pnl' AS DOUBLE) AS pnl, doc->>'note' AS note, CAST(doc->>'fee' AS DOUBLE) AS fee,
+       coalesce(doc->>'venue', doc->>'market') AS venue, '' AS failed_casts
+FROM cur
 """,
     "p4_found": f"""
 SELECT id AS event_id, period, CASE WHEN revision > 7 THEN 'dropped' ELSE 'corrects' END AS outcome FROM ({_CELLS}) WHERE revision > 0
