@@ -1,6 +1,6 @@
 """The registered queries (``CORE_QUERIES``) and their SQL for an independent engine (``CORE_SQL``)."""
 
-from recordweave.queries import training
+from recordweave.queries import catalogue, training
 
-CORE_QUERIES = {**training.QUERIES}
-CORE_SQL = {**training.ORACLE_SQL}
+CORE_QUERIES = {**catalogue.QUERIES, **training.QUERIES}
+CORE_SQL = {**catalogue.ORACLE_SQL, **training.ORACLE_SQL}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordweave.operators import changefeed, drift, lateness, pointintime, references
+from recordweave.queries.replay_sql import FIRST_RECORDINGS, replay_sql
 from recordweave.sources.tables import table
 
 
@@ -22,7 +23,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_trades(spark: SparkSession, d: str) -> DataFrame:
     """The consistent table of trades, failed casts joined to one text."""
     found = drift.consistent_table(table(spark, d, "entities"), table(spark, d, "schemas"), "trade")
-    return found.withColumn("failed_casts", F.array_join("failed_casts", ",")).drop("other")
+    return found.withColumn("failed_casts", F.array_join("failed_casts", ",")).withColumn("executed_at", F.col("executed_at").cast("string")).drop("other")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,10 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
 }
 
-_FIRST = """
-  SELECT *, CAST("at" AS TIMESTAMPTZ) AS at_t, CAST(recorded_at AS TIMESTAMPTZ) AS rec_t
-  FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS rn FROM record_events) WHERE rn = 1
-"""
+_FIRST = FIRST_RECORDINGS
 
 _CELLS = f"""
   SELECT id, strftime(at_t AT TIME ZONE 'UTC', '%Y-%m-%d') AS period,
@@ -63,31 +61,26 @@ _CELLS = f"""
 """
 
 ORACLE_SQL: dict[str, str] = {
-    "p1_found": f"""
-WITH f AS ({_FIRST}),
- void AS (SELECT DISTINCT entity_id, target_event_id AS id FROM f WHERE kind = 'retracted' AND target_event_id IS NOT NULL),
- gone AS (SELECT DISTINCT entity_id FROM f WHERE kind = 'retracted' AND target_event_id IS NULL),
- cor AS (SELECT entity_id, target_event_id AS id, arg_max(json_extract(payload, '$.payload'), seq) AS payload FROM f
-         WHERE kind = 'corrected' AND NOT EXISTS (SELECT 1 FROM void v WHERE v.entity_id = f.entity_id AND v.id = f.id) GROUP BY 1, 2),
- placed AS (SELECT *, CASE WHEN at_precision = 'unknown' THEN max(CASE WHEN at_precision <> 'unknown' THEN epoch_us(at_t) END)
-              OVER (PARTITION BY entity_id ORDER BY seq ROWS UNBOUNDED PRECEDING) ELSE epoch_us(at_t) END AS place FROM f),
- data AS (SELECT p.entity_id, p.id, p.kind, coalesce(c.payload, CAST(p.payload AS JSON)) AS payload,
-            row_number() OVER (PARTITION BY p.entity_id ORDER BY p.kind <> 'created', coalesce(place, -1), seq) AS ord
-          FROM placed p LEFT JOIN cor c ON c.entity_id = p.entity_id AND c.id = p.id
-          WHERE p.kind NOT IN ('corrected', 'retracted') AND NOT EXISTS (SELECT 1 FROM void v WHERE v.entity_id = p.entity_id AND v.id = p.id)),
- pieces AS (SELECT entity_id, ord, unnest(json_keys(body)) AS field, body FROM (
-            SELECT entity_id, ord, CASE WHEN kind = 'status_changed' THEN json_object('status', json_extract(payload, '$.to')) ELSE payload END AS body FROM data)),
- vals AS (SELECT entity_id, field, arg_max(struct_pack(v := json_extract_string(body, '$."' || field || '"')), ord).v AS v FROM pieces GROUP BY 1, 2),
- docs AS (SELECT entity_id, coalesce(max(v) FILTER (field = 'status'), '') AS status, coalesce(max(v) FILTER (field = 'expected_rate'), '') AS expected_rate,
-            CAST(count(v) AS BIGINT) AS n_fields FROM vals GROUP BY 1),
- tail AS (SELECT entity_id, arg_max(id, ord) AS last_event_id FROM data GROUP BY 1)
+    "p1_found": replay_sql(_FIRST) + """
+, docs AS (SELECT entity_id, coalesce(max(v) FILTER (field = 'status'), '') AS status, coalesce(max(v) FILTER (field = 'expected_rate'), '') AS expected_rate,
+            CAST(count(v) AS BIGINT) AS n_fields FROM vals GROUP BY 1)
 SELECT entity_id, status, expected_rate, n_fields, last_event_id FROM docs JOIN tail USING (entity_id)
 WHERE entity_id NOT IN (SELECT entity_id FROM gone)
+""",
+    # the replay once per outcome, over the changes that had happened and were recorded before it
+    "p5_found": replay_sql(f"""
+  SELECT e.id, o.id AS entity_id, e.kind, e.payload, e.at_us, e.seq, e.at_precision, e.target_event_id FROM ({_FIRST}) e JOIN ({_FIRST}) o USING (entity_id)
+  WHERE o.kind = 'status_changed' AND o.at_precision = 'time' AND o.payload->>'to' IN ('passed', 'rejected') AND e.at_t < o.at_t AND e.rec_t < o.at_t""") + f"""
+, docs AS (SELECT entity_id, max(v) FILTER (field = 'status') AS status, max(v) FILTER (field = 'expected_rate') AS expected_rate FROM vals GROUP BY 1),
+ had AS (SELECT entity_id, string_agg(DISTINCT v, ',' ORDER BY v) AS reached FROM said WHERE field = 'status' AND v IS NOT NULL GROUP BY 1)
+SELECT o.id AS event_id, CASE WHEN t.known THEN coalesce(d.status, '') ELSE '' END AS status, CASE WHEN t.known THEN coalesce(d.expected_rate, '') ELSE '' END AS expected_rate, CASE WHEN t.known THEN coalesce(h.reached, '') ELSE '' END AS reached
+FROM ({_FIRST}) o LEFT JOIN tail t ON t.entity_id = o.id LEFT JOIN docs d ON d.entity_id = o.id LEFT JOIN had h ON h.entity_id = o.id
+WHERE o.kind = 'status_changed' AND o.at_precision = 'time' AND o.payload->>'to' IN ('passed', 'rejected')
 """,
     "p2_trades": """
 WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_event_seq DESC) AS rn FROM entities) WHERE rn = 1 AND type = 'trade')
 SELECT id, CAST(schema_version AS BIGINT) AS version, doc->>'source_key' AS source_key, doc->>'security_id' AS security_id, doc->>'account' AS account, doc->>'side' AS side,
-       CAST(coalesce(doc->>'executed_at', doc->>'traded_at') AS DATE) AS executed_at, CAST(doc->>'units' AS DOUBLE) AS units, CAST(doc->>'price' AS DOUBLE) AS price,
+       coalesce(doc->>'executed_at', doc->>'traded_at') AS executed_at, CAST(doc->>'units' AS DOUBLE) AS units, CAST(doc->>'price' AS DOUBLE) AS price,
        CAST(doc->>'amount' AS BIGINT) AS amount, CAST(doc->>'pnl' AS DOUBLE) AS pnl, doc->>'note' AS note, CAST(doc->>'fee' AS DOUBLE) AS fee,
        coalesce(doc->>'venue', doc->>'market') AS venue, '' AS failed_casts
 FROM cur
