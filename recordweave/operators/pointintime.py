@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordweave.operators.feed import DATA_KINDS, JSON_MAP, first_recordings, readable, undated_places, voids_and_corrections
-from recordweave.runtime import materialise
+from recordweave.runtime import materialise, ship
 
 #: A record with more versions than this is cut into slices of about half as many.
 LONG_RECORD = 20_000
@@ -41,6 +41,7 @@ def versions(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     Undated events take the place of the latest known time recorded before them; as a change is recorded after
     it happened, all of those are known once the undated event is.
     """
+    ship(rows.sparkSession)
     voids, corrections = voids_and_corrections(rows)
     known = F.greatest("at_us", F.coalesce("rec_us", "at_us"))
     fixes = corrections.groupBy("entity_id", "target").agg(F.sort_array(F.collect_list(F.struct("seq", "known_us", F.coalesce("void_us", F.lit(END)).alias("void_us"), "payload"))).alias("fixes"))
@@ -128,6 +129,7 @@ def as_known(asked: DataFrame, held: DataFrame, fields: tuple[str, ...], reached
 
     Repeated events, equal ranks and records without versions are handled; everything is "" if nothing was known.
     """
+    ship(asked.sparkSession)
     held, asked = sliced(held, asked)
     total = held.count()
     groups = max(1, -(-total // GROUP_ROWS))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordweave.runtime import ship
+
 _HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*$")
 _ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+(.*)$")
 _RULE = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)*\|?\s*$")
@@ -61,6 +63,7 @@ def chunks(text: str) -> list[tuple[str, str, int, int, str]]:
 
 def split_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kind, path, first_line, last_line, chunk, span_id) of every chunk; null texts have none."""
+    ship(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

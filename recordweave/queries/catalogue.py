@@ -95,13 +95,15 @@ _LOG = f"""(SELECT f.*, payload->>'to' AS "to", epoch_us(CAST("at" AS TIMESTAMPT
   LEFT JOIN (SELECT DISTINCT unnest(event_ids) AS eid FROM {_APP}) a ON a.eid = f.id)"""
 
 
-def spec(name: str, data: dict, sql: str, of: Callable[[SparkSession, str], Book] = book, rounded: tuple[str, ...] = (), dates: tuple[str, ...] = ()) -> None:
+def spec(name: str, data: dict, sql: str, of: Callable[[SparkSession, str], Book] = book, rounded: tuple[str, ...] = (), fine: tuple[str, ...] = (), dates: tuple[str, ...] = ()) -> None:
     """Registers a specification; ``rounded`` columns become cents, ``dates`` text, so both engines print them alike."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = ask(of(spark, d), data).rows
         for c in rounded:
             rows = rows.withColumn(c, F.round(F.col(c).cast("double"), 2).cast("decimal(18,2)").cast("string"))
+        for c in fine:
+            rows = rows.withColumn(c, F.col(c).cast("decimal(18,4)").cast("string"))
         for c in dates:
             rows = rows.withColumn(c, F.col(c).cast("string"))
         return rows
@@ -132,7 +134,7 @@ spec("ent_multi_measure_where", _OR | {"mode": "aggregate", "group_by": [{"field
         {"name": "least", "agg": "min", "field": "amount"}, {"name": "most", "agg": "max", "field": "amount"}]},
      f"SELECT status, CAST(sum(CASE WHEN priority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS urgent, {cents('avg(CASE WHEN amount > 2000 THEN amount END)')} AS big, min(amount) AS least, max(amount) AS most, count(*) AS n FROM {_ORDER} GROUP BY 1", rounded=("big",))
 spec("ent_median", {"entity_type": "line", "mode": "aggregate", "group_by": [{"field": "flag"}], "measures": [{"name": "mid", "agg": "median", "field": "price"}]},
-     f"SELECT flag, {cents('median(price)')} AS mid, count(*) AS n FROM {_LINE} GROUP BY 1", rounded=("mid",))
+     f"SELECT flag, CAST(CAST(median(price) AS DECIMAL(18,4)) AS VARCHAR) AS mid, count(*) AS n FROM {_LINE} GROUP BY 1", fine=("mid",))
 spec("ent_having", _OR | {"mode": "aggregate", "group_by": [{"field": "ordered_on", "bucket": "month"}], "measures": [{"name": "mean", "agg": "avg", "field": "amount"}], "having": [{"measure": "count", "op": "gte", "value": 180}, {"measure": "mean", "op": "gt", "value": 1000}], "order_by": "count", "descending": True},
      f"SELECT strftime(ordered_on, '%Y-%m') AS ordered_on_month, {cents('avg(amount)')} AS mean, count(*) AS n FROM {_ORDER} GROUP BY 1 HAVING count(*) >= 180 AND avg(amount) > 1000", rounded=("mean",))
 spec("ent_first_last_date", _OR | {"mode": "aggregate", "group_by": [{"field": "status"}], "measures": [{"name": "a", "agg": "first", "field": "ordered_on"}, {"name": "z", "agg": "last", "field": "ordered_on"}]},

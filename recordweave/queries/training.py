@@ -31,7 +31,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_triangle(spark: SparkSession, d: str) -> DataFrame:
-    return lateness.arrival_triangle(lateness.arrival_cells(table(spark, d, "record_events")))
+    return lateness.arrival_triangle(lateness.arrival_cells(table(spark, d, "record_events"))).fillna(0, ["final_count"])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +92,7 @@ SELECT id AS event_id, period, CASE WHEN revision > 7 THEN 'dropped' ELSE 'corre
 WITH n AS (SELECT period, revision, count(*) AS arrived FROM ({_CELLS}) GROUP BY 1, 2),
  c AS (SELECT *, CAST(sum(arrived) OVER (PARTITION BY period ORDER BY revision) AS BIGINT) AS corrected FROM n)
 SELECT period, revision, arrived, corrected, revision > 7 AS closed,
-       max(CASE WHEN revision <= 7 THEN corrected END) OVER (PARTITION BY period) AS final_count FROM c
+       coalesce(max(CASE WHEN revision <= 7 THEN corrected END) OVER (PARTITION BY period), 0) AS final_count FROM c
 """,
     "p6_found": f"""
 WITH f AS ({_FIRST}),

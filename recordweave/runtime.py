@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +49,23 @@ def materialise(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, which need not have it installed; once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_recordweave_shipped", False):
+        return
+    package = pathlib.Path(__file__).parent
+    shared = urlparse(shared_folder(spark))
+    folder = pathlib.Path(shared.path if shared.scheme in ("", "file") else tempfile.mkdtemp(prefix="recordweave-"))  # read by the driver only
+    folder.mkdir(parents=True, exist_ok=True)
+    archive = folder / f"recordweave-{uuid.uuid4().hex}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._recordweave_shipped = True
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df`` in bytes (an upper bound for scans and projections)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
