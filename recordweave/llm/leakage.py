@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordweave.llm.cells import segments
+from recordweave.runtime import ship
 
 WORDS = 12
 Q = 8
@@ -185,6 +186,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     nothing; repeated documents and items give one row per pair of ids; texts of any length are read whole.
     """
     spark = documents.sparkSession
+    ship(spark)
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "export_form")
     found = None
     for block in passage_blocks(items):

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordweave.runtime import materialise
+from recordweave.runtime import materialise, ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split of texts before byte-pair merges that belongs to the vocabulary.
@@ -129,6 +129,7 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
     pieces of a text longer than its container).
     """
     spark = documents.sparkSession
+    ship(spark)
     classes = [(r.container_class, int(r.capacity_tokens)) for r in containers.where("container_class is not null and capacity_tokens > 0").distinct().collect()]  # a handful
     counted = materialise(token_counts(documents, vocabulary), "token-counts")
     blocks = max(1, -(-counted.count() // BLOCK_DOCUMENTS))
