@@ -21,6 +21,7 @@ from recordweave.plans.planner import Book, Planner, ask, with_labels
 from recordweave.plans.spec import FieldDef, TypeDef, parse
 from recordweave.queries.replay_sql import FIRST_RECORDINGS, replay_sql
 from recordweave.sources.tables import table
+from recordweave.sources.views import flat_view
 
 NOW = dt.datetime(2001, 8, 1, 12, tzinfo=dt.timezone.utc)
 _date, _num, _int = FieldDef(format="date"), FieldDef("number"), FieldDef("integer")
@@ -463,6 +464,14 @@ def view_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("r.type").alias("type")).agg(F.sum((~F.col("r.retracted")).cast("long")).alias("live"), F.sum(F.col("r.retracted").cast("long")).alias("retracted"))
 
 
+@register("view_flat_orders", f"SELECT CAST(id AS VARCHAR) AS id, CASE status WHEN 'F' THEN 'finished' ELSE status END AS status, CAST(ordered_on AS VARCHAR) AS ordered_on, priority, c_name AS customer, c_name AS label FROM {_ORDER} JOIN customer ON c_custkey = customer_id")
+def view_flat_orders(spark: SparkSession, d: str) -> DataFrame:
+    b = book(spark, d)
+    order = TYPES["order"].fields
+    b.types = {"order": TypeDef("order", {n: FieldDef(enum=order[n].enum, labels={"F": ["finished"]}) if n == "status" else order[n] for n in order if n != "amount"})}
+    return flat_view(b, "order")
+
+
 @register("latest_schemas", "SELECT name, CAST(max(version) AS BIGINT) AS version, count(DISTINCT version) AS versions FROM schemas GROUP BY 1")
 def latest_schemas(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "schemas").groupBy("name").agg(F.max("version").cast("long").alias("version"), F.countDistinct("version").alias("versions"))
