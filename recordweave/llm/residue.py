@@ -171,6 +171,31 @@ def prose_counts(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS)
     return counts
 
 
+def all_filler(words: list[str]) -> bool:
+    """Two words or more, all of dummy Latin or all mashed keys, and not only words that prose has as well."""
+    if len(words) < 2:
+        return False
+    if all(w in _LATIN for w in words):
+        return not _COMMON.issuperset(words)
+    return all(w in _MASHED for w in words) and (not _COMMON.issuperset(words) or len(set(words)) < len(words))
+
+
+def filler_lines(cell: str, text: str) -> bool:
+    """The cell as a whole, or one of its lines, is dummy words and nothing else. text: the cell masked; a line with a quotation is no such line."""
+    at, every = 0, []
+    for line in cell.split("\n"):
+        first = _WORD.search(line)
+        if first is None:
+            at += len(line) + 1
+            continue
+        words = [w.lower() for w in _WORD.findall(line)] if first[0].lower() in _FILLER and text[at : at + len(line)] == line else None
+        if words and all_filler(words):
+            return True
+        every = None if every is None or words is None else every + words
+        at += len(line) + 1
+    return bool(every) and all_filler(every)
+
+
 class ResidueModel:
     """Log-likelihood ratios against prose, and the two decisions."""
 
@@ -215,6 +240,8 @@ class ResidueModel:
     def has_filler(self, cell: str) -> bool:
         """A text cell holds an unfilled slot or dummy text outside quotations."""
         text = masked(cell)
+        if filler_lines(cell, text):
+            return True
         for piece in self.stretches(text):
             if _SLOT.search(piece) or _DUMMY.search(piece):
                 return True
@@ -239,6 +266,9 @@ class ResidueModel:
 
 _LATIN = frozenset(LATIN)
 _MASHED = frozenset(MASHED)
+_FILLER = _LATIN | _MASHED
+#: Words of the two lists that are words of English, German or Spanish too; alone they speak for no filler.
+_COMMON = frozenset("ad aliqua amet anim bar do dolor duis elit est et ex id in minim mollit nisi non officia quis sed sit sunt tempor test ut velit".split())
 
 
 def residue_documents(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> DataFrame:

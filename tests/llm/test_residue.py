@@ -31,6 +31,15 @@ def test_filler(model):
         assert model.excluded(f"{PROSE[2]}\n\n{t}\n\n{PROSE[3]}", "fenced"), t
 
 
+def test_short_filler_lines(model):
+    for t in ("blah blah asdf asdf", "asdf xxxx xxxx blah", "# Lorem ipsum", "blah blah blah", "Lorem ipsum dolor.", "test test", "foo bar", "Lorem\nipsum"):
+        assert model.excluded(cells(("markdown", PROSE[0]), ("markdown", t)), "ipynb"), t
+        if "\n" not in t:
+            assert model.excluded(f"{PROSE[2]}\n\n{t}\n\n{PROSE[3]}", "fenced"), t
+    for t in ("# Test", "Bar test", "In est", "The lorem ipsum text is gone.", '"lorem ipsum"', "# `foo` bar", "Test of foo and bar"):
+        assert not model.excluded(cells(("markdown", PROSE[0]), ("markdown", t)), "ipynb"), t
+
+
 def test_topics_code_and_outputs_are_kept(model):
     kept = [
         cells(("markdown", "Slots are written as `{{ title }}` or `[Your name here]` and get filled.")), cells(("markdown", 'The phrase "lorem ipsum dolor sit amet consectetur" is used as a probe.')),
