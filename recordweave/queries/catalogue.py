@@ -412,8 +412,8 @@ def text_split_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @register("text_numbers_evidence", "SELECT doc_id, CAST(list_contains(list_transform(regexp_extract_all(text, '[+-]?\\d[\\d,]*(?:\\.\\d+)?\\s*[만억]?'), lambda x: CAST(regexp_replace(x, '[,\\s만억]', '', 'g') AS DOUBLE)), 404.0) AS BOOLEAN) AS found FROM documents WHERE NOT contains(text, '만') AND NOT contains(text, '억')")
 def text_numbers_evidence(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("not contains(text, '만') and not contains(text, '억')")
-    return docs.select("doc_id", text.number_in_quote(F.lit(404.0), F.col("text")).alias("found"))
+    """Over all documents. The SQL knows no units and leaves out texts with 만 or 억; their rows are checked by tests/test_catalogue.py."""
+    return table(spark, d, "documents").select("doc_id", text.number_in_quote(F.lit(404.0), F.col("text")).alias("found"))
 
 
 _FACTS = "(SELECT o_custkey AS who, o_orderstatus AS status, CAST(o_orderkey AS VARCHAR) AS span_id FROM orders)"
