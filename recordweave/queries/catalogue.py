@@ -100,18 +100,30 @@ def spec(name: str, data: dict, sql: str, of: Callable[[SparkSession, str], Book
     """Registers a specification; ``rounded`` columns become cents, ``dates`` text, so both engines print them alike."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = ask(of(spark, d), data).rows
-        for c in rounded:
-            rows = rows.withColumn(c, F.round(F.col(c).cast("double"), 2).cast("decimal(18,2)").cast("string"))
-        for c in fine:
-            rows = rows.withColumn(c, F.col(c).cast("decimal(18,4)").cast("string"))
-        for c in dates:
-            rows = rows.withColumn(c, F.col(c).cast("string"))
-        return rows
+        return printed(ask(of(spark, d), data).rows, rounded, fine, dates)
 
     QUERIES[name], ORACLE_SQL[name] = run, sql
 
 
+def whole(name: str, data: dict, columns: list[str], sql: str, of: Callable[[SparkSession, str], Book] = book, rounded: tuple[str, ...] = (), dates: tuple[str, ...] = ()) -> None:
+    """Registers every row that matches a specification; a list alone has at most its limit of them."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return printed(ask(of(spark, d), data).matching.select(*columns), rounded, (), dates)
+
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+def printed(rows: DataFrame, rounded: tuple[str, ...], fine: tuple[str, ...], dates: tuple[str, ...]) -> DataFrame:
+    for c in rounded:
+        rows = rows.withColumn(c, F.round(F.col(c).cast("double"), 2).cast("decimal(18,2)").cast("string"))
+    for c in fine:
+        rows = rows.withColumn(c, F.col(c).cast("decimal(18,4)").cast("string"))
+    for c in dates:
+        rows = rows.withColumn(c, F.col(c).cast("string"))
+    return rows
+
+
 def cents(x: str) -> str:
     return f"CAST(CAST(round(CAST({x} AS DOUBLE), 2) AS DECIMAL(18,2)) AS VARCHAR)"
 
@@ -125,6 +137,8 @@ spec("ent_exists_missing", _OR | {"mode": "aggregate", "measures": [{"name": "ha
      f"SELECT CAST(sum((priority IS NOT NULL)::INT) AS BIGINT) AS has, CAST(sum((priority IS NULL)::INT) AS BIGINT) AS lacks, count(*) AS n FROM {_ORDER}")
 spec("ent_contains_ci", {"entity_type": "part", "mode": "list", "filters": [{"field": "name", "op": "contains", "value": "RED"}], "list_fields": ["name", "brand"], "limit": 200},
      "SELECT p_partkey AS id, p_name AS name, p_brand AS brand FROM part WHERE contains(lower(p_name), 'red') ORDER BY id LIMIT 200")
+whole("ent_contains_ci_matching", {"entity_type": "part", "mode": "list", "filters": [{"field": "name", "op": "contains", "value": "RED"}]}, ["id", "name", "brand"],
+      "SELECT p_partkey AS id, p_name AS name, p_brand AS brand FROM part WHERE contains(lower(p_name), 'red')")
 spec("ent_list_topk", _OR | {"mode": "list", "filters": [{"field": "status", "op": "eq", "value": "F"}], "list_fields": ["amount", "status"], "order_by": "amount", "descending": True, "limit": 50},
      f"SELECT id, amount, status FROM {_ORDER} WHERE status = 'F' ORDER BY amount DESC NULLS LAST, id LIMIT 50")
 for _size, _fmt in (("day", "%Y-%m-%d"), ("week", "%Y-W%W"), ("month", "%Y-%m"), ("year", "%Y")):
@@ -173,6 +187,8 @@ spec("date_event_substitution", _AP | {"mode": "aggregate", "measures": [{"name"
 _SE = {"entity_type": "daily", "source": "series"}
 spec("series_list_period", _SE | {"mode": "list", "filters": [{"field": "day", "op": "gte", "value": "2024-01-10"}, {"field": "event_type", "op": "eq", "value": ["click", "view"]}], "limit": 500},
      f"SELECT event_type, CAST(day AS VARCHAR) AS day, n, total FROM {_DAILY} WHERE day >= DATE '2024-01-10' AND event_type IN ('click', 'view')", dates=("day",))
+whole("series_list_period_matching", _SE | {"mode": "list", "filters": [{"field": "day", "op": "gte", "value": "2024-01-10"}, {"field": "event_type", "op": "eq", "value": ["click", "view"]}]}, ["event_type", "day", "n", "total"],
+      ORACLE_SQL["series_list_period"], dates=("day",))
 spec("series_month_agg", _SE | {"mode": "aggregate", "group_by": [{"field": "event_type"}, {"field": "day", "bucket": "week"}], "measures": [{"name": "sum_n", "agg": "sum", "field": "n"}, {"name": "days", "agg": "count", "where": [{"field": "n", "op": "gt", "value": 60}]}]},
      f"SELECT event_type, strftime(day, '%Y-W%W') AS day_week, CAST(sum(n) AS BIGINT) AS sum_n, CAST(sum((n > 60)::INT) AS BIGINT) AS days, count(*) AS n FROM {_DAILY} GROUP BY 1, 2")
 spec("series_first_last_change", _SE | {"mode": "aggregate", "group_by": [{"field": "event_type"}], "measures": [{"name": a, "agg": a, "field": "total"} for a in ("first", "last", "change", "change_pct")]},
@@ -181,6 +197,10 @@ spec("series_ma_points", _SE | {"mode": "list", "window": [{"name": "m7", "measu
      f"SELECT event_type, CAST(day AS VARCHAR) AS day, {cents('m')} AS m7 FROM (SELECT *, avg(n) OVER (PARTITION BY event_type ORDER BY day ROWS 6 PRECEDING) AS m FROM {_DAILY}) WHERE day >= DATE '2024-01-20'", rounded=("m7",), dates=("day",))
 spec("series_ma_days", _SE | {"mode": "list", "window": [{"name": "s5", "measure": "n", "agg": "sum", "size": 5, "unit": "days"}], "list_fields": ["event_type", "day", "s5"], "limit": 1000},
      f"SELECT event_type, CAST(day AS VARCHAR) AS day, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY day RANGE BETWEEN INTERVAL 4 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS s5 FROM {_DAILY}", dates=("day",))
+whole("series_ma_points_matching", _SE | {"mode": "list", "window": [{"name": "m7", "measure": "n", "agg": "avg", "size": 7}], "filters": [{"field": "day", "op": "gte", "value": "2024-01-20"}]}, ["event_type", "day", "m7"],
+      ORACLE_SQL["series_ma_points"], rounded=("m7",), dates=("day",))
+whole("series_ma_days_matching", _SE | {"mode": "list", "window": [{"name": "s5", "measure": "n", "agg": "sum", "size": 5, "unit": "days"}]}, ["event_type", "day", "s5"],
+      ORACLE_SQL["series_ma_days"], dates=("day",))
 spec("series_below_window", _SE | {"mode": "aggregate", "window": [{"name": "top", "measure": "n", "agg": "max", "size": 5}], "compare": [{"measure": "n", "op": "lt", "baseline": {"window": "top"}}, {"measure": "n", "op": "gt", "baseline": {"value": 10}}], "group_by": [{"field": "event_type"}]},
      f"SELECT event_type, count(*) AS n FROM (SELECT *, max(n) OVER (PARTITION BY event_type ORDER BY day ROWS 4 PRECEDING) AS top FROM {_DAILY}) WHERE n < top AND n > 10 GROUP BY 1")
 spec("sum_over_asof", {"entity_type": "line", "mode": "aggregate", "values": [{"name": "close", "asof": {"field": "part_id", "series": "part_price", "measure": "close", "at": "ordered_on"}}, {"name": "worth", "expr": {"op": "mul", "args": ["quantity", "close"]}}], "group_by": [{"field": "flag"}], "measures": [{"name": "worth_sum", "agg": "sum", "field": "worth"}]},
