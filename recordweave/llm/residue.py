@@ -1,8 +1,8 @@
 """Template residue and error-page text.
 
 Three character n-gram models are fitted: filler (placeholders and dummy text) and notices (error pages, demands for
-scripts) on phrases written out below and varied by rule, natural prose on the text cells of a bounded sample of
-the documents. Residue is where the mean log-likelihood ratio over a window is high. A page is excluded if notice
+scripts) on phrases written out below and varied by rule, natural prose on the text cells of all
+documents. Residue is where the mean log-likelihood ratio over a window is high. A page is excluded if notice
 windows cover most of it, a text cell if filler windows cover a stretch of it; a stretch is then held against the
 marks of placeholders and the words of dummy text. Code, outputs, quotations, code spans and formulas are no
 author's words gone missing and are masked first.
@@ -25,8 +25,6 @@ from recordweave.runtime import ship
 ORDER = 4
 BUCKETS = 1 << 16
 WINDOW = 8
-#: The prose model is fitted on about this many documents, taken by the hash of their id.
-SAMPLE_DOCUMENTS = 20_000
 MIN_RATIO = 0.5
 NOTICE_COVERAGE = 0.5
 
@@ -149,10 +147,8 @@ def _counted(texts: list[str]) -> np.ndarray:
     return total
 
 
-def prose_counts(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> np.ndarray:
-    """In how many of about ``sample_documents`` documents each n-gram stands in a masked text cell."""
-    total = documents.count()
-    keep = max(1, total // sample_documents)
+def prose_counts(documents: DataFrame) -> np.ndarray:
+    """In how many documents each n-gram stands in a masked text cell."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(BUCKETS, np.int64)
@@ -164,8 +160,7 @@ def prose_counts(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS)
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"gram": at, "n": sums[at]})
 
-    sample = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(keep)) == 0).select("text", "export_form")
-    rows = sample.mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
+    rows = documents.where("text is not null").select("text", "export_form").mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
     counts = np.zeros(BUCKETS)
     counts[rows["gram"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
     return counts
@@ -271,11 +266,11 @@ _FILLER = _LATIN | _MASHED
 _COMMON = frozenset("ad aliqua amet anim bar do dolor duis elit est et ex id in minim mollit nisi non officia quis sed sit sunt tempor test ut velit".split())
 
 
-def residue_documents(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
+def residue_documents(documents: DataFrame) -> DataFrame:
     """(doc_id) of the documents to exclude. Empty and null texts are kept (they hold no residue); null ids have no row;
     texts of any length are read whole; a repeated document gives one row."""
     ship(documents.sparkSession)
-    model = documents.sparkSession.sparkContext.broadcast(ResidueModel(prose_counts(documents, sample_documents)))  # a fixed 1 MB
+    model = documents.sparkSession.sparkContext.broadcast(ResidueModel(prose_counts(documents)))  # a fixed 1 MB
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

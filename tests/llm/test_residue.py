@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from recordweave.llm.residue import SLOTS, ResidueModel, _counted, masked, residue_documents
+from recordweave.llm.residue import SLOTS, ResidueModel, _counted, grams, masked, prose_counts, residue_documents
 
 DOCS = "doc_id long, text string, export_form string"
 PROSE = ["Our harbour queues were shifted, then weekly.", "Only 149 of 5849 rows kept their scores, so the errors stay out.", "Next, merge each parcel by mask and keep the raw one.", "The histogram of levels looks steady once the spline is applied.", "TIP: weigh before you compare; otherwise ratios creep in.", "모아 행을 확인했다 측정 단위 변하지 않았다.", "Wir sortieren die Werte nach der Woche.", "La curva crece y queda clara al final.",
@@ -71,3 +71,10 @@ def test_table(spark):
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS gram", "2 AS n")
     assert sorted(r.doc_id for r in residue_documents(df).collect()) == [2, 5]
     assert residue_documents(df.limit(0)).count() == 0
+
+
+def test_prose_is_counted_over_all_documents(spark):
+    df = spark.range(45_000).selectExpr("id AS doc_id", "'plain words stay' AS text", "'fenced' AS export_form")
+    counts = prose_counts(df)
+    assert {counts[g] for g in grams("plain words stay")} == {45_000}
+    assert counts.sum() == 45_000 * len(set(grams("plain words stay").tolist()))
