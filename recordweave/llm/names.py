@@ -27,8 +27,6 @@ from recordweave.runtime import ship
 
 #: Words in at least this share of companies are common words, so there are few of them.
 COMMON_SHARE = 0.004
-#: Common words and their translations are learned from at most this many companies.
-VOCABULARY_SAMPLE = 20_000
 #: Companies per index; more are searched in blocks of this size.
 BLOCK_COMPANIES = 50_000
 MAX_EDITS = 2
@@ -94,40 +92,69 @@ def allowed(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 7 else 2
 
 
+def later_words(forms: list[str]) -> set[str]:
+    """The Latin words after the first of a company's folded forms."""
+    return {w for f in forms if not _HANGUL.search(f) for w in re.findall(r"[a-z]+", f)[1:]}
+
+
+def is_common(word: str, n: int, companies: int) -> bool:
+    return n >= max(2, COMMON_SHARE * companies) and len(word) > 2 and word not in GROUP_WORDS
+
+
+def both_scripts(forms: list[str], common: set[str]) -> tuple[list[str], str] | None:
+    """(common Latin words, Hangul form) of a company whose folded forms have both."""
+    latin = next((ws for f in forms if not _HANGUL.search(f) and len(ws := re.findall(r"[a-z]+", f)) > 1), None)
+    local = next((x for f in forms if (x := "".join(_HANGUL.findall(f))) and not re.search(r"[a-z]", f)), None)
+    return ([w for w in latin[1:] if w in common], local) if latin and local else None
+
+
+def without_last(pair: tuple[list[str], str], hangul: dict[str, str]) -> tuple[list[str], str] | None:
+    """The pair without its last word, where the Hangul form ends with what that word is called."""
+    words, local = pair
+    end = next((h for h in sorted(hangul, key=len, reverse=True) if hangul[h] == words[-1] and local.endswith(h)), None) if words else None
+    return (words[:-1], local[: -len(end)]) if end else None
+
+
+def suffixes(pair: tuple[list[str], str]) -> list[tuple[str, str]]:
+    """(last word, suffix) for every suffix of the Hangul form but itself."""
+    words, local = pair
+    return [(words[-1], local[i:]) for i in range(1, len(local))] if words else []
+
+
+def translated(hangul: dict[str, str], best: list[tuple[str, str, int]]) -> dict[str, str]:
+    """``hangul`` with the best (word, suffix, companies) added; of two words for one suffix the more frequent holds."""
+    return {s: w for w, s, _ in sorted(best, key=lambda b: (b[2], b[0]))} | hangul
+
+
 class Vocabulary:
     """Common words (Latin) and the Hangul words that mean them."""
 
     def __init__(self, forms: list[list[str]]) -> None:
-        """forms: per company its name and aliases, as typed."""
+        """forms: per company its name and aliases, as typed. ``learned`` does the same for a table."""
         split = [[folded(f) for f in fs] for fs in forms]
-        seen: Counter[str] = Counter()
-        for fs in split:
-            seen.update({w for f in fs if not _HANGUL.search(f) for w in re.findall(r"[a-z]+", f)[1:]})
-        least = max(2, COMMON_SHARE * len(forms))
-        self.common = {w for w, n in seen.items() if n >= least and len(w) > 2} - set(GROUP_WORDS)
-        self.hangul: dict[str, str] = {}
-        pairs = []
-        for fs in split:
-            latin = next((ws for f in fs if not _HANGUL.search(f) and len(ws := re.findall(r"[a-z]+", f)) > 1), None)
-            local = next((x for f in fs if (x := "".join(_HANGUL.findall(f))) and not re.search(r"[a-z]", f)), None)
-            if latin and local:
-                pairs.append(([w for w in latin[1:] if w in self.common], local))
+        seen = Counter(w for fs in split for w in later_words(fs))
+        common = {w for w, n in seen.items() if is_common(w, n, len(forms))}
+        hangul: dict[str, str] = {}
+        pairs = [p for fs in split if (p := both_scripts(fs, common))]
         for _ in range(2):  # last words, then the qualifiers before them
-            suffixes: dict[str, Counter[str]] = defaultdict(Counter)
-            rest = []
-            for words, local in pairs:
-                if words:
-                    suffixes[words[-1]].update(local[i:] for i in range(1, len(local)))
-            for word, counts in suffixes.items():
-                top = counts.most_common(1)[0][1]
-                if top >= 2:
-                    best = max((s for s, n in counts.items() if n >= 0.8 * top), key=len)
-                    self.hangul.setdefault(best, word)
-            for words, local in pairs:
-                if words and (end := next((h for h in sorted(self.hangul, key=len, reverse=True) if self.hangul[h] == words[-1] and local.endswith(h)), None)):
-                    rest.append((words[:-1], local[: -len(end)]))
-            pairs = rest
-        self.by_length = sorted(self.hangul, key=len, reverse=True)
+            counts: dict[str, Counter[str]] = defaultdict(Counter)
+            for w, s in (x for p in pairs for x in suffixes(p)):
+                counts[w][s] += 1
+            tops = {w: max(c.values()) for w, c in counts.items()}
+            best = [(w, *max(((s, n) for s, n in c.items() if n >= 0.8 * tops[w]), key=lambda x: (len(x[0]), x[1], x[0]))) for w, c in counts.items() if tops[w] >= 2]
+            hangul = translated(hangul, best)
+            pairs = [r for p in pairs if (r := without_last(p, hangul))]
+        self._set(common, hangul)
+
+    def _set(self, common: set[str], hangul: dict[str, str]) -> None:
+        self.common, self.hangul = common, hangul
+        self.by_length = sorted(hangul, key=len, reverse=True)
+
+    @classmethod
+    def of(cls, common: tuple[str, ...], hangul: tuple[tuple[str, str], ...]) -> Vocabulary:
+        made = cls.__new__(cls)
+        made._set(set(common), dict(hangul))
+        return made
 
     def cut(self, local: str) -> tuple[str, list[str]]:
         """Hangul run -> (what is left in front, common words at its end)."""
@@ -364,8 +391,41 @@ def chosen(options: list[tuple[float, str]]) -> tuple[float, str] | None:
 
 
 @lru_cache(maxsize=2)
-def _index(block: tuple, forms: tuple) -> NameIndex:
-    return NameIndex(block, Vocabulary([list(f) for f in forms]))
+def _index(block: tuple, common: tuple, hangul: tuple) -> NameIndex:
+    return NameIndex(block, Vocabulary.of(common, hangul))
+
+
+def learned(companies: DataFrame) -> tuple[tuple[str, ...], tuple[tuple[str, str], ...]]:
+    """The common words and their (Hangul, Latin) translations, counted over all companies. Only common words, whose
+    number the least share bounds, and one suffix for each come to the driver."""
+    rows = companies.where("name is not null").select("name", "aliases")
+    total = rows.count()
+
+    def forms(pdf: pd.DataFrame) -> list[list[str]]:
+        return [[folded(f) for f in (name, *(a for a in (aliases if aliases is not None else []) if a))] for name, aliases in zip(pdf["name"], pdf["aliases"])]
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame(Counter(w for fs in forms(pdf) for w in later_words(fs)).items(), columns=["word", "n"])
+
+    seen = rows.mapInPandas(words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, COMMON_SHARE * total)).collect()
+    common = {r.word for r in seen if is_common(r.word, r.n, total)}
+    hangul: dict[str, str] = {}
+    for last in (True, False):  # last words, then the qualifiers before them
+
+        def endings(batches: Iterator[pd.DataFrame], known: dict[str, str] = hangul, last: bool = last) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pairs = [p for fs in forms(pdf) if (p := both_scripts(fs, common))]
+                if not last:
+                    pairs = [r for p in pairs if (r := without_last(p, known))]
+                found = Counter(x for p in pairs for x in suffixes(p))
+                yield pd.DataFrame([(*x, n) for x, n in found.items()], columns=["word", "suffix", "n"])
+
+        counts = rows.mapInPandas(endings, "word string, suffix string, n long").groupBy("word", "suffix").agg(F.sum("n").alias("n"))
+        tops = counts.groupBy("word").agg(F.max("n").alias("top")).where("top >= 2")
+        best = counts.join(F.broadcast(tops), "word").where(F.col("n") >= 0.8 * F.col("top")).groupBy("word").agg(F.max(F.struct(F.length("suffix").alias("size"), "n", "suffix")).alias("b"))
+        hangul = translated(hangul, [(r.word, r.b.suffix, r.b.n) for r in best.collect()])
+    return tuple(sorted(common)), tuple(sorted(hangul.items()))
 
 
 def company_blocks(companies: DataFrame) -> Iterator[tuple[tuple[str, str, tuple[str, ...], str], ...]]:
@@ -389,12 +449,11 @@ def resolve(queries: DataFrame, companies: DataFrame) -> DataFrame:
     """
     spark = queries.sparkSession
     ship(spark)
-    sample = companies.where("name is not null").select("name", "aliases").limit(VOCABULARY_SAMPLE).collect()
-    forms = tuple(sorted(tuple([r.name, *(a for a in (r.aliases or []) if a)]) for r in sample))
+    vocabulary = learned(companies)
     asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "query")
     found = asked.select("query_id", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("string").alias("company_id"))
     for block in company_blocks(companies):
-        shared = spark.sparkContext.broadcast((block, forms))  # at most BLOCK_COMPANIES and VOCABULARY_SAMPLE rows
+        shared = spark.sparkContext.broadcast((block, *vocabulary))  # at most BLOCK_COMPANIES rows
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = _index(*shared.value)

@@ -75,3 +75,18 @@ def test_table(spark, firms, monkeypatch):
     assert {r.query_id: r.company_id for r in resolve(asked, companies).collect()} == want
     assert {r.company_id for r in resolve(asked, companies.limit(0)).collect()} == {""}
     assert resolve(asked.limit(0), companies).count() == 0
+
+
+def test_vocabulary_is_learned_from_all_companies(spark, firms):
+    forms = [[n, *a] for _, n, a, _ in firms]
+    table = spark.createDataFrame([(f[0], f[1:]) for f in forms], "name string, aliases array<string>")
+    by_hand = Vocabulary(forms)
+    assert names.learned(table) == (tuple(sorted(by_hand.common)), tuple(sorted(by_hand.hangul.items())))
+
+
+def test_words_of_late_companies_are_common(spark):
+    early = spark.range(20_500, numPartitions=1).selectExpr("CAST(id AS string) AS id", "concat('Q', id, ' Trading') AS name", "CAST(NULL AS array<string>) AS aliases", "'' AS business_number")
+    late = spark.createDataFrame([(f"{latin}{x}", f"{latin}{x} Optics", [f"{local}{x}광학"], "") for latin, local in FIRSTS.items() for x in "abcdefghij"], early.schema)
+    companies = early.unionByName(late).coalesce(1)
+    asked = spark.createDataFrame([(1, "Haengaengdea"), (2, "Tubochij Optics"), (3, "Tubochij Trading")], "query_id long, query string")
+    assert {r.query_id: r.company_id for r in resolve(asked, companies).collect()} == {1: "Haengaengdea", 2: "Tubochij", 3: ""}
