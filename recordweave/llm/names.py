@@ -332,6 +332,8 @@ class NameIndex:
             others = words[:i] + words[i + 1 :]
             for k in range(min(len(w), self.longest + MAX_EDITS), 2, -1):
                 tries.setdefault((w[:k], w[k:]), others)
+            if len(w) == 2:  # a distinctive word of two letters, as it stands
+                tries.setdefault((w, ""), others)
             if i and len(w) > 3:  # common word glued in front of the distinctive one
                 tries.setdefault((w, ""), others)
         for i in range(2, len(words) + 1):
@@ -340,7 +342,7 @@ class NameIndex:
             tries.setdefault((head, ""), words[i:])
         for (head, rest), others in tries.items():
             for w, d in self.near(head):
-                if rest and d and len(head) < 5:
+                if d and (len(head) < 3 or rest and len(head) < 5):
                     continue
                 for company in self.owners[w]:
                     cost = self.explained(rest, others, company)

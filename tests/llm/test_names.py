@@ -90,3 +90,10 @@ def test_words_of_late_companies_are_common(spark):
     companies = early.unionByName(late).coalesce(1)
     asked = spark.createDataFrame([(1, "Haengaengdea"), (2, "Tubochij Optics"), (3, "Tubochij Trading")], "query_id long, query string")
     assert {r.query_id: r.company_id for r in resolve(asked, companies).collect()} == {1: "Haengaengdea", 2: "Tubochij", 3: ""}
+
+
+def test_first_words_of_two_letters(firms):
+    more = [("lg", "LG Energy Inc.", (), ""), ("sk", "SK Games", (), "")]
+    short = NameIndex(tuple([*firms, *more]), Vocabulary([[n, *a] for _, n, a, _ in [*firms, *more]]))
+    for query, company in (("LG Energy", "lg"), ("LG", "lg"), ("Energy LG", "lg"), ("sk games", "sk"), ("SK Energy", ""), ("LK Games", ""), ("L Energy", ""), ("Haengaengde Energy", "c0")):
+        assert meant(short, query) == company, query
