@@ -268,7 +268,7 @@ class NameIndex:
                 self.by_number[digits].append(cid)
             common: list[str] = []
             first: set[str] = set()
-            for form in (name, *aliases):
+            for form in filter(None, (name, *aliases)):
                 for words in vocabulary.pieces(folded(form))[:1]:
                     own = [w for w in words if w not in vocabulary.common]
                     mine = [w for w in words if w in vocabulary.common]
@@ -400,11 +400,11 @@ def _index(block: tuple, common: tuple, hangul: tuple) -> NameIndex:
 def learned(companies: DataFrame) -> tuple[tuple[str, ...], tuple[tuple[str, str], ...]]:
     """The common words and their (Hangul, Latin) translations, counted over all companies. Only common words, whose
     number the least share bounds, and one suffix for each come to the driver."""
-    rows = companies.where("name is not null").select("name", "aliases")
+    rows = companies.where("name is not null or aliases is not null").select("name", "aliases")
     total = rows.count()
 
     def forms(pdf: pd.DataFrame) -> list[list[str]]:
-        return [[folded(f) for f in (name, *(a for a in (aliases if aliases is not None else []) if a))] for name, aliases in zip(pdf["name"], pdf["aliases"])]
+        return [[folded(f) for f in (name, *(aliases if aliases is not None else [])) if f] for name, aliases in zip(pdf["name"], pdf["aliases"])]
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -431,11 +431,14 @@ def learned(companies: DataFrame) -> tuple[tuple[str, ...], tuple[tuple[str, str
 
 
 def company_blocks(companies: DataFrame) -> Iterator[tuple[tuple[str, str, tuple[str, ...], str], ...]]:
-    """Rows in blocks of bounded size, streamed to the driver one partition at a time."""
+    """Rows in blocks of bounded size, streamed to the driver one partition at a time. Of rows with one id, one counts,
+    with a name if there is one; a row without a name has its aliases and number."""
     block = []
-    rows = companies.where("id is not null and name is not null").select("id", "name", "aliases", "business_number").dropDuplicates(["id"])
+    row = F.struct("name", "aliases", "business_number")
+    first = F.struct(F.isnull("name"), F.isnull("aliases"), F.isnull("business_number"), "name", "aliases", "business_number")
+    rows = companies.where("id is not null").groupBy("id").agg(F.min_by(row, first).alias("r")).select("id", "r.*")
     for r in rows.toLocalIterator():
-        block.append((r.id, r.name, tuple(a for a in (r.aliases or []) if a), r.business_number or ""))
+        block.append((r.id, r.name or "", tuple(a for a in (r.aliases or []) if a), r.business_number or ""))
         if len(block) >= BLOCK_COMPANIES:
             yield tuple(sorted(block))
             block = []

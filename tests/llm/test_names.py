@@ -97,3 +97,10 @@ def test_first_words_of_two_letters(firms):
     short = NameIndex(tuple([*firms, *more]), Vocabulary([[n, *a] for _, n, a, _ in [*firms, *more]]))
     for query, company in (("LG Energy", "lg"), ("LG", "lg"), ("Energy LG", "lg"), ("sk games", "sk"), ("SK Energy", ""), ("LK Games", ""), ("L Energy", ""), ("Haengaengde Energy", "c0")):
         assert meant(short, query) == company, query
+
+
+def test_companies_without_a_name(spark, firms):
+    nameless = [("n1", None, ["Bluestork", None], "222-33-44444"), ("n2", None, None, "3334455555"), ("n3", None, None, None), ("c0", None, ["Elsewhere"], None)]
+    companies = spark.createDataFrame([(i, n, list(a), b) for i, n, a, b in firms] + nameless, "id string, name string, aliases array<string>, business_number string")
+    asked = spark.createDataFrame(list(enumerate(["222-33-44444", "Bluestork", "x 333-44-55555", "Haengaengde Energy", "", "None"])), "query_id long, query string")
+    assert {r.query_id: r.company_id for r in resolve(asked, companies).collect()} == {0: "n1", 1: "n1", 2: "n2", 3: "c0", 4: "", 5: ""}
