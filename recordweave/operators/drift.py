@@ -264,3 +264,23 @@ def consistent_table(entities: DataFrame, schemas: DataFrame, record_type: str,
     used = {n for ns in names.values() for n in ns}
     other = F.transform_values(F.map_filter("m", lambda k, v: ~k.isin(*used)), lambda k, v: F.to_json(v))
     return doc.select("id", "version", *columns, F.array_compact(F.array(*failed)).alias("failed_casts"), other.alias("other"))
+
+
+def consistent_values(entities: DataFrame, schemas: DataFrame) -> DataFrame:
+    """The consistent tables of all types of the dictionary in one long form: record_type, id, version, field, value (text),
+    failed (the value did not fit its type and is null) and declared (false: one of ``other``). Absent values have no row."""
+    from functools import reduce
+
+    found = schema_changes(entities, schemas)
+    parts = []
+    for record_type in sorted(dictionary(schemas)):
+        wide = consistent_table(entities, schemas, record_type, found)
+        fields = [c for c in wide.columns if c not in ("id", "version", "failed_casts", "other")]
+        text = lambda c, kind: F.to_json(F.col(f"`{c}`")) if kind.startswith("array") else F.col(f"`{c}`").cast("string")
+        kinds = dict(wide.dtypes)
+        own = [F.struct(F.lit(c).alias("field"), text(c, kinds[c]).alias("value"), F.array_contains("failed_casts", c).alias("failed"), F.lit(True).alias("declared")) for c in fields]
+        others = F.transform(F.map_entries(F.coalesce("other", F.create_map().cast("map<string,string>"))), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value"), F.lit(False).alias("failed"), F.lit(False).alias("declared")))
+        rows = wide.select(F.lit(record_type).alias("record_type"), "id", "version", F.explode(F.concat(F.array(*own), others) if own else others).alias("f"))
+        parts.append(rows.select("record_type", "id", "version", "f.*").where("failed or value is not null and (declared or value <> 'null')"))
+    schema = "record_type string, id string, version long, field string, value string, failed boolean, declared boolean"
+    return reduce(DataFrame.unionByName, parts) if parts else entities.sparkSession.createDataFrame([], schema)

@@ -26,6 +26,11 @@ def p2_trades(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("failed_casts", F.array_join("failed_casts", ",")).withColumn("executed_at", F.col("executed_at").cast("string")).drop("other")
 
 
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent tables of every type, with the fields that no version declares."""
+    return drift.consistent_values(table(spark, d, "entities"), table(spark, d, "schemas"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lateness.late_events(table(spark, d, "record_events"))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_trades": p2_trades,
+    "p2_values": p2_values,
     "p4_found": p4_found,
     "p4_triangle": p4_triangle,
     "p5_found": p5_found,

@@ -49,5 +49,20 @@ def test_consistent_table_reports_failed_casts(spark):
     assert (got["r2"].venue, got["r2"].fee, got["r2"].failed_casts, got["r2"].other) == ("south", None, ["fee"], {"odd": "1"})
 
 
+def test_consistent_values_of_every_type(spark, tmp_path):
+    from recordweave.queries.training import QUERIES
+
+    rows = [entity(1, 1, {"place": "north", "size": 3}), entity(2, 2, {"venue": "south", "size": "many", "fee": "free", "odd": 1, "gone": None}), (*entity(3, 1, {"place": "west", "stray": [1]})[:1], "other", *entity(3, 1, {"place": "west", "stray": [1]})[2:])]
+    schemas = [schema("thing", 1, **ONE), schema("thing", 2, **TWO), schema("other", 1, **ONE)]
+    spark.createDataFrame(rows, ENTITIES).write.parquet(f"{tmp_path}/entities.parquet")
+    spark.createDataFrame(schemas, SCHEMAS).write.parquet(f"{tmp_path}/schemas.parquet")
+    got = {tuple(r) for r in QUERIES["p2_values"](spark, str(tmp_path)).collect()}
+    assert got == {
+        ("thing", "r1", 1, "venue", "north", False, True), ("thing", "r1", 1, "size", "3", False, True), ("thing", "r2", 2, "venue", "south", False, True), ("thing", "r2", 2, "size", "many", False, True),
+        ("thing", "r2", 2, "fee", None, True, True), ("thing", "r2", 2, "odd", "1", False, False), ("other", "r3", 1, "place", "west", False, True), ("other", "r3", 1, "stray", "[1]", False, False),
+    }
+    assert drift.consistent_values(spark.createDataFrame([], ENTITIES), spark.createDataFrame([], SCHEMAS)).count() == 0
+
+
 def test_empty(spark):
     assert drift.p2_found(spark.createDataFrame([], ENTITIES), spark.createDataFrame([], SCHEMAS)).count() == 0
