@@ -17,32 +17,44 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordweave.runtime import ship
+from recordweave.functions.names import LEGAL_WORDS
+from recordweave.operators.skew import salted_join
+from recordweave.runtime import materialise, ship
 
 #: Words in at least this share of companies are common words, so there are few of them.
 COMMON_SHARE = 0.004
-#: Companies per index; more are searched in blocks of this size.
-BLOCK_COMPANIES = 50_000
 MAX_EDITS = 2
-
-# Legal forms, and the letters of romanised Hangul in Unicode order.
-LEGAL_HANGUL = ["주식회사", "유한책임회사", "유한회사", "합자회사", "합명회사", "사단법인", "재단법인", "(주)", "(유)", "(사)", "(재)", "㈜"]
-LEGAL_LATIN = ["co ltd", "company limited", "company", "corporation", "corp", "incorporated", "inc", "limited", "ltd", "llc", "gmbh", "plc", "co"]
+#: Words longer than this are indexed by the deletions of their ends.
+LONG_WORD = 40
+#: Bits of the presence filter of index keys, at most; 8 MB.
+FILTER_BITS = 1 << 26
+#: Two companies whose costs are nearer than this are told apart by nothing.
+CLEAR = 0.05
+MISSPELT = 0.2
+#: The longest Hangul word, in syllables, that is looked at as a translation of a common word.
+MAX_TRANSLATION = 16
+
+# Spelt-out legal forms beside LEGAL_WORDS, words for groups, and the letters of romanised Hangul in Unicode order.
+SPELT_LEGAL = ["company limited", "incorporated", "limited"]
 GROUP_WORDS = ["group", "그룹", "holdings", "the"]
 LEADS = ["g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h"]
 VOWELS = ["a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui", "i"]
 TAILS = ["", "k", "k", "ks", "n", "nj", "nh", "t", "l", "lk", "lm", "lb", "ls", "lt", "lp", "lh", "m", "p", "ps", "t", "t", "ng", "t", "t", "k", "t", "p", "h"]
 
-_LEGAL_WORD = re.compile(r"(?<![a-z0-9])(?:" + "|".join(re.escape(w).replace(r"\ ", r"[\s.,]*") for w in LEGAL_LATIN) + r")(?![a-z0-9])\.?")
+_LATIN_LEGAL = sorted({tuple(re.findall("[a-z]+", w)) for w in [*LEGAL_WORDS, *SPELT_LEGAL] if w[0].isascii() and w[0].isalpha()}, key=lambda ws: (-len(ws), -len("".join(ws)), ws))
+_LEGAL_WORD = re.compile(r"(?<![a-z0-9])(?:" + "|".join(r"[\s.,]*".join(ws) for ws in _LATIN_LEGAL) + r")(?![a-z0-9])\.?")
+_OTHER_LEGAL = [unicodedata.normalize("NFKC", w) for w in LEGAL_WORDS if not (w[0].isascii() and w[0].isalpha())]
 _NUMBER = re.compile(r"(?<!\d)(?:\d[\s-]?){9}\d(?!\d)")
 _HANGUL = re.compile(r"[가-힣]+")
 _PIECE = re.compile(r"[가-힣]+|[a-z]+\d+|[a-z]+|\d+")
+_SPACED = re.compile(r"(?<![^ ])[a-z](?: [a-z](?![^ ])){2,}")
 
 
 def romanised(text: str) -> str:
@@ -57,34 +69,39 @@ def folded(text: str) -> str:
     """Compatibility form without legal forms, lower-cased; words that were only set apart by capitals are parted."""
     s = unicodedata.normalize("NFKC", text)
     s = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", s).lower()
-    for form in LEGAL_HANGUL:
-        s = s.replace(unicodedata.normalize("NFKC", form), " ")
+    for form in _OTHER_LEGAL:
+        s = s.replace(form, " ")
     return _LEGAL_WORD.sub(" ", s)
 
 
 def distance(a: str, b: str, most: int) -> int:
-    """Edit distance with transpositions of neighbours; ``most + 1`` if it is higher."""
+    """Edit distance with transpositions of neighbours; ``most + 1`` if it is higher. Only cells within ``most`` of the
+    diagonal are filled, so long words cost their length."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    old, row = [0] * (len(b) + 1), list(range(len(b) + 1))
+    n, far = len(b), most + 1
+    if abs(len(a) - n) > most:
+        return far
+    old: dict[int, int] = {}
+    row = {j: j for j in range(min(n, most) + 1)}
     for i, x in enumerate(a, 1):
-        older, old, row = old, row, [i]
-        for j, y in enumerate(b, 1):
-            d = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+        older, old, row = old, row, {}
+        for j in range(max(0, i - most), min(n, i + most) + 1):
+            d = i if j == 0 else min(old.get(j, far) + 1, row.get(j - 1, far) + 1, old.get(j - 1, far) + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                d = min(d, older.get(j - 2, far) + 1)
+            row[j] = min(d, far)
+        if min(row.values()) > most:
+            return far
+    return row[n]
 
 
 def deletions(word: str, edits: int = MAX_EDITS) -> set[str]:
-    found = {word}
-    for k in range(1, min(edits, len(word) - 1) + 1):
-        found.update("".join(word[i] for i in range(len(word)) if i not in gone) for gone in map(set, combinations(range(len(word)), k)))
+    """The word and what is left of it after up to ``edits`` deletions; at least one letter stays."""
+    found = edge = {word}
+    for _ in range(min(edits, len(word) - 1)):
+        edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
+        found = found | edge
     return found
 
 
@@ -116,9 +133,9 @@ def without_last(pair: tuple[list[str], str], hangul: dict[str, str]) -> tuple[l
 
 
 def suffixes(pair: tuple[list[str], str]) -> list[tuple[str, str]]:
-    """(last word, suffix) for every suffix of the Hangul form but itself."""
+    """(last word, suffix) for every suffix of the Hangul form but itself, of up to MAX_TRANSLATION syllables."""
     words, local = pair
-    return [(words[-1], local[i:]) for i in range(1, len(local))] if words else []
+    return [(words[-1], local[i:]) for i in range(max(1, len(local) - MAX_TRANSLATION), len(local))] if words else []
 
 
 def translated(hangul: dict[str, str], best: list[tuple[str, str, int]]) -> dict[str, str]:
@@ -251,150 +268,130 @@ def readings(rest: str, words: tuple[str, ...]) -> float | None:
     return min(options, default=None)
 
 
-class NameIndex:
-    """Companies of one block, by distinctive word."""
-
-    def __init__(self, companies: tuple[tuple[str, str, tuple[str, ...], str], ...], vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
-        self.words: list[tuple[str, ...]] = []
-        self.firsts: list[tuple[str, ...]] = []
-        self.ids = [c[0] for c in companies]
-        self.owners: dict[str, list[int]] = defaultdict(list)
-        self.by_number: dict[str, list[str]] = defaultdict(list)
-        self.deleted: dict[str, list[str]] = defaultdict(list)
-        for k, (cid, name, aliases, number) in enumerate(companies):
-            digits = re.sub(r"\D", "", number or "")
-            if len(digits) == 10:
-                self.by_number[digits].append(cid)
-            common: list[str] = []
-            first: set[str] = set()
-            for form in filter(None, (name, *aliases)):
-                for words in vocabulary.pieces(folded(form))[:1]:
-                    own = [w for w in words if w not in vocabulary.common]
-                    mine = [w for w in words if w in vocabulary.common]
-                    if len(mine) > len(common):
-                        common = mine
-                    first.add("".join(own) if own else words[0])
-            self.words.append(tuple(dict.fromkeys(common)))
-            self.firsts.append(tuple(sorted(first)))
-            for w in first:
-                if len(w) > 1:
-                    self.owners[w].append(k)
-        self.longest = max(map(len, self.owners), default=0)
-        for w in self.owners:
-            for d in deletions(w):
-                self.deleted[d].append(w)
-
-    @lru_cache(maxsize=200_000)
-    def near(self, word: str) -> tuple[tuple[str, int], ...]:
-        """Distinctive words within the edits allowed for them."""
-        if len(word) > self.longest + MAX_EDITS:
-            return ()
-        found = {w for d in deletions(word) for w in self.deleted.get(d, ())}
-        code = bool(re.search(r"\d", word))
-        out = []
-        for w in found:
-            most = 1 if code else min(allowed(w), allowed(word) or 1)
-            if bool(re.search(r"\d", w)) == code and (d := distance(word, w, most)) <= most:
-                out.append((w, d))
-        return tuple(sorted(out, key=lambda x: x[1]))
-
-    def resolve(self, query: str) -> list[tuple[float, str]]:
-        """(cost, company id), least cost first; a negative cost is a business number."""
-        s = unicodedata.normalize("NFKC", query)
-        number = _NUMBER.search(s)
-        if number:
-            ids = self.by_number.get(re.sub(r"\D", "", number[0]))
-            if ids:
-                return [(-1.0, i) for i in sorted(set(ids))]
-            return []
-        parts = self.vocabulary.pieces(folded(query))
-        best: dict[int, float] = {}
-        for words in parts:
-            for company, cost in self.read(words).items():
-                best[company] = min(best.get(company, 1e9), cost)
-        if len(parts) > 1:  # no part may speak against the company
-            for company in list(best):
-                for words in parts:
-                    if self.part_cost(words, company) is None:
-                        del best[company]
-                        break
-        return sorted((c, self.ids[k]) for k, c in best.items())
-
-    def read(self, words: list[str]) -> dict[int, float]:
-        """Company -> cost of reading the words of one part as its name."""
-        best: dict[int, float] = {}
-        glued = "".join(words)
-        tries: dict[tuple[str, str], list[str]] = {}
-        if len(words) > 12 + max(map(len, self.words), default=0):  # more words than a name and its parts can hold
-            return best
-        for i, w in enumerate(words):
-            others = words[:i] + words[i + 1 :]
-            for k in range(min(len(w), self.longest + MAX_EDITS), 2, -1):
-                tries.setdefault((w[:k], w[k:]), others)
-            if len(w) == 2:  # a distinctive word of two letters, as it stands
-                tries.setdefault((w, ""), others)
-            if i and len(w) > 3:  # common word glued in front of the distinctive one
-                tries.setdefault((w, ""), others)
-        for i in range(2, len(words) + 1):
-            if len(head := "".join(words[:i])) > self.longest + MAX_EDITS:
-                break
-            tries.setdefault((head, ""), words[i:])
+def edits_for(word: str) -> int:
+    return 1 if re.search(r"\d", word) else allowed(word)
+
+
+def neighbourhood(word: str, edits: int) -> set[str]:
+    """The strings under which a word is indexed and looked up. Two words of any length within ``edits`` (at most two)
+    of each other share one: short words by what is left after deletions; of long ones, whose deletions grow with the
+    square of the length, two edits leave at least one end with no more than one."""
+    found = deletions(word, edits) if len(word) <= LONG_WORD + MAX_EDITS else set()
+    if len(word) > LONG_WORD - MAX_EDITS:
+        found |= {f"<{d}" for d in deletions(word[: LONG_WORD // 2])} | {f"{d}>" for d in deletions(word[-(LONG_WORD // 2) :])}
+    return found
+
+
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1  # fits a long
+
+
+class Reader:
+    """Reads queries with a vocabulary; ``most`` and ``longest`` are the number and the length of common words that
+    any company has, ``top`` the length of its longest distinctive word; they bound how a query can be cut without losing a reading."""
+
+    def __init__(self, common: tuple[str, ...], hangul: tuple[tuple[str, str], ...], most: int, longest: int, top: int) -> None:
+        self.vocabulary, self.most, self.longest, self.top = Vocabulary.of(common, hangul), most, longest, top + MAX_EDITS
+
+    def described(self, forms: list[str]) -> tuple[list[str], list[str]]:
+        """(distinctive words, common words) of a company: the first words of all its forms, the longest list of common words."""
+        common: list[str] = []
+        firsts: set[str] = set()
+        for form in forms:
+            for words in self.vocabulary.pieces(folded(form))[:1]:
+                own = [w for w in words if w not in self.vocabulary.common]
+                mine = [w for w in words if w in self.vocabulary.common]
+                common = max(common, mine, key=len)
+                firsts.add("".join(own) if own else words[0])
+        return sorted(firsts), list(dict.fromkeys(common))
+
+    def tries(self, words: list[str]) -> dict[tuple[str, str], list[str]]:
+        """(head, rest of its word) -> other words, for every way in which a head can be the distinctive word: a word or
+        its beginning, or the first words joined. Ways that leave more than a company's common words can take are left out."""
+        found: dict[tuple[str, str], list[str]] = {}
+        if len(words) - 1 <= self.most:
+            for i, w in enumerate(words):
+                others = words[:i] + words[i + 1 :]
+                if len(w) <= self.top:
+                    found.setdefault((w, ""), others)
+                for k in range(min(len(w) - 1, self.top), max(1, len(w) - 2 * self.longest - 5), -1):
+                    found.setdefault((w[:k], w[k:]), others)
+        for i in range(max(2, len(words) - self.most), len(words) + 1):
+            if len(head := "".join(words[:i])) <= self.top:
+                found.setdefault((head, ""), words[i:])
+        spelt = _SPACED.sub(lambda m: m[0].replace(" ", ""), " ".join(words)).split()  # letters set apart by blanks
+        return found if len(spelt) == len(words) else self.tries(spelt) | found
+
+    @lru_cache(maxsize=4_096)
+    def parts(self, query: str) -> list[tuple[list[str], int, dict[tuple[str, str], list[str]]]]:
+        return [(words, sum(map(len, words)), self.tries(words)) for words in self.vocabulary.pieces(folded(query))]
+
+    def probes(self, query: str) -> set[int]:
+        heads = {head for _, _, tries in self.parts(query) for head, _ in tries}
+        return {hashed(s) for h in heads for s in neighbourhood(h, 0 if len(h) < 3 else edits_for(h) or 1)}
+
+    def reading(self, part: tuple, firsts: list[str], common: tuple[str, ...]) -> float | None:
+        """Least cost of reading a part of a query as a company's name."""
+        _, letters, tries = part
+        best = None
         for (head, rest), others in tries.items():
-            for w, d in self.near(head):
-                if d and (len(head) < 3 or rest and len(head) < 5):
+            for w in firsts:
+                if abs(len(w) - len(head)) > MAX_EDITS:
+                    continue
+                code = bool(re.search(r"\d", head))
+                most = 1 if code else min(allowed(w), allowed(head) or 1)
+                if bool(re.search(r"\d", w)) != code or (d := distance(head, w, most)) > most or d and (len(head) < 3 or rest and len(head) < 5):
                     continue
-                for company in self.owners[w]:
-                    cost = self.explained(rest, others, company)
-                    if cost is not None:
-                        cost += d + 0.02 * (len(glued) - len(head) - len(rest) > 0) + 0.05 * bool(rest)
-                        if cost < best.get(company, 1e9):
-                            best[company] = cost
+                cost = explained(rest, others, common)
+                if cost is not None:
+                    cost += d + 0.02 * (letters - len(head) - len(rest) > 0) + 0.05 * bool(rest)
+                    best = cost if best is None else min(best, cost)
         return best
 
-    def explained(self, rest: str, others: list[str], company: int) -> float | None:
-        own = self.words[company]
-        if rest:
-            if others:
-                costs = [assigned([rest, *others], own)]
-                costs += [assigned([rest[:k], rest[k:], *others], own) for k in range(1, len(rest))] if len(own) > len(others) + 1 else []
-                cost = min((c for c in costs if c is not None), default=None)
-            else:
-                cost = readings(rest, own)
-        else:
-            cost = assigned(others, own)
-            if cost is None and len(others) == 1:
-                cost = readings(others[0], own)
-        if cost is None:
-            return None
-        said = len(others) + bool(rest)
-        return cost + 0.1 * max(0, len(own) - said) + (0.3 if not said and own else 0)
-
-    def part_cost(self, words: list[str], company: int) -> float | None:
-        """Cost of a part beside one that names the company: its reading, its common words alone, or a first word
-        with more typos than a reading would allow; None if the part speaks against the company."""
-        if (c := self.read(words).get(company)) is not None:
-            return c
-        if (c := assigned(words, self.words[company])) is not None:
-            return c
-        common = [w for w in words if w in self.vocabulary.common]
+    def support(self, part: tuple, firsts: list[str], common: tuple[str, ...]) -> float | None:
+        """Cost of a part beside one that names the company: nothing if it is common words alone, MISSPELT if it has a first
+        word with more typos than a reading would allow; None if it speaks against the company."""
+        words = part[0]
+        if assigned(words, common) is not None:
+            return 0.0
         own = "".join(w for w in words if w not in self.vocabulary.common)
-        c = assigned(common, self.words[company])
-        if c is not None and own and any(distance(own, w, 3) <= 3 for w in self.firsts[company]):
-            return c + 3
-        return None
-
-
-def chosen(options: list[tuple[float, str]]) -> tuple[float, str] | None:
-    """The company meant: the one of least cost, if no other comes as close."""
-    if not options or len(options) > 1 and options[1][0] - options[0][0] < 0.05 and options[1][1] != options[0][1]:
+        near = own and assigned([w for w in words if w in self.vocabulary.common], common) is not None and any(distance(own, w, 3) <= 3 for w in firsts)
+        return MISSPELT if near else None
+
+    def score(self, query: str, firsts: list[str], common: tuple[str, ...]) -> tuple[float | None, bool]:
+        """(cost of the best reading and of what stands beside it, whether every part is a reading or supported)."""
+        parts = self.parts(query)
+        costs = [self.reading(p, firsts, common) for p in parts]
+        cost = min((c for c in costs if c is not None), default=None)
+        if cost is None or len(parts) == 1:
+            return cost, True
+        beside = [self.support(p, firsts, common) for p, c in zip(parts, costs) if c is None]
+        return cost + sum(b or 0.0 for b in beside), None not in beside
+
+
+def explained(rest: str, others: list[str], own: tuple[str, ...]) -> float | None:
+    """Least cost of what a reading leaves beside the distinctive word: the rest of its word and the other words."""
+    if rest:
+        if others:
+            costs = [assigned([rest, *others], own)]
+            costs += [assigned([rest[:k], rest[k:], *others], own) for k in range(1, len(rest))] if len(own) > len(others) + 1 else []
+            cost = min((c for c in costs if c is not None), default=None)
+        else:
+            cost = readings(rest, own)
+    else:
+        cost = assigned(others, own)
+        if cost is None and len(others) == 1:
+            cost = readings(others[0], own)
+    if cost is None:
         return None
-    return options[0]
+    said = len(others) + bool(rest)
+    return cost + 0.1 * max(0, len(own) - said) + (0.3 if not said and own else 0)
 
 
-@lru_cache(maxsize=2)
-def _index(block: tuple, common: tuple, hangul: tuple) -> NameIndex:
-    return NameIndex(block, Vocabulary.of(common, hangul))
+def number_in(query: str) -> str | None:
+    """The ten digits of a business number in a query."""
+    m = _NUMBER.search(unicodedata.normalize("NFKC", query))
+    return re.sub(r"\D", "", m[0]) if m else None
 
 
 def learned(companies: DataFrame) -> tuple[tuple[str, ...], tuple[tuple[str, str], ...]]:
@@ -430,52 +427,118 @@ def learned(companies: DataFrame) -> tuple[tuple[str, ...], tuple[tuple[str, str
     return tuple(sorted(common)), tuple(sorted(hangul.items()))
 
 
-def company_blocks(companies: DataFrame) -> Iterator[tuple[tuple[str, str, tuple[str, ...], str], ...]]:
-    """Rows in blocks of bounded size, streamed to the driver one partition at a time. Of rows with one id, one counts,
-    with a name if there is one; a row without a name has its aliases and number."""
-    block = []
+def described_companies(companies: DataFrame, common: tuple, hangul: tuple) -> DataFrame:
+    """id, digits (of a ten-digit business number, else null), firsts, common: one row per company. Of rows with one id,
+    one counts, with a name if there is one; a row without a name has its aliases and number."""
     row = F.struct("name", "aliases", "business_number")
     first = F.struct(F.isnull("name"), F.isnull("aliases"), F.isnull("business_number"), "name", "aliases", "business_number")
-    rows = companies.where("id is not null").groupBy("id").agg(F.min_by(row, first).alias("r")).select("id", "r.*")
-    for r in rows.toLocalIterator():
-        block.append((r.id, r.name or "", tuple(a for a in (r.aliases or []) if a), r.business_number or ""))
-        if len(block) >= BLOCK_COMPANIES:
-            yield tuple(sorted(block))
-            block = []
-    if block:
-        yield tuple(sorted(block))
+    rows = companies.where("id is not null").groupBy("id").agg(F.min_by(row, first).alias("r")).select(F.col("id").cast("string").alias("id"), "r.*")
+    forms = F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda f: f.isNotNull() & (f != ""))
+    digits = F.regexp_replace("business_number", r"\D", "")
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(common, hangul, 0, 0, 0)
+        for pdf in batches:
+            both = [reader.described(list(forms)) for forms in pdf["forms"]]
+            yield pd.DataFrame({"id": pdf["id"], "digits": pdf["digits"], "firsts": [b[0] for b in both], "common": [b[1] for b in both]})
+
+    slim = rows.select("id", F.when(F.length(digits) == 10, digits).alias("digits"), forms.alias("forms"))
+    return materialise(slim.mapInPandas(describe, "id string, digits string, firsts array<string>, common array<string>"), "companies")
+
+
+def presence(keys: DataFrame, n: int) -> bytes:
+    """One bit per slot that a key of the index falls on, at most FILTER_BITS; what it lets through is joined exactly."""
+    size = 1 << 15
+    while size < min(FILTER_BITS, 16 * n):
+        size *= 2
+    slots = keys.select(F.col("key").bitwiseAND(F.lit(size - 1)).alias("s"))
+    # bit positions count from 0 in every bucket of 32,768
+    parts = slots.groupBy((F.col("s") / (1 << 15)).cast("long").alias("b")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect()
+    bits = bytearray(size // 8)
+    for p in parts:
+        bits[p.b * 4096 : (p.b + 1) * 4096] = p.bits
+    return bytes(bits)
 
 
 def resolve(queries: DataFrame, companies: DataFrame) -> DataFrame:
-    """(query_id, company_id): the company each query means, "" for none.
+    """(query_id, company_id): the company each query means; a query that means none has no row.
 
-    A full business number decides alone; else the name does. Null and empty queries mean none; a repeated query id
+    A full business number decides alone, else the name does. Null and empty queries mean none; a repeated query id
     gives one row; queries that fit two companies equally well mean none.
+
+    Both sides meet by equi-joins: a query on the hashes of its heads' neighbourhoods, a company on those of its
+    distinctive words. Companies with one distinctive word and the same common words are one class, as no single part
+    of a query tells them apart, so a first word that many companies share costs a query its classes, not its companies.
     """
     spark = queries.sparkSession
     ship(spark)
-    vocabulary = learned(companies)
-    asked = queries.where("query_id is not null").select(F.col("query_id").cast("long").alias("query_id"), "query")
-    found = asked.select("query_id", F.lit(None).cast("double").alias("cost"), F.lit(None).cast("string").alias("company_id"))
-    for block in company_blocks(companies):
-        shared = spark.sparkContext.broadcast((block, *vocabulary))  # at most BLOCK_COMPANIES rows
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = _index(*shared.value)
-            memory: dict[str, list[tuple[float, str]]] = {}
-            for pdf in batches:
-                rows = []
-                for qid, query in zip(pdf["query_id"], pdf["query"]):
-                    if not isinstance(query, str) or not query.strip():
-                        continue
-                    if query not in memory:
-                        memory[query] = index.resolve(query)[:2]
-                    rows += [(qid, cost, cid) for cost, cid in memory[query]]
-                yield pd.DataFrame(rows, columns=["query_id", "cost", "company_id"])
-
-        found = found.unionByName(asked.mapInPandas(search, "query_id long, cost double, company_id string"))
-    # the two best of each block suffice to tell a clear winner from a tie
-    first = F.min(F.when(F.col("cost").isNotNull(), F.struct("cost", "company_id"))).alias("a")
-    best = found.groupBy("query_id").agg(first, F.collect_set(F.when(F.col("cost").isNotNull(), F.struct("cost", "company_id"))).alias("all"))
-    rival = F.exists("all", lambda x: (x["company_id"] != F.col("a.company_id")) & (x["cost"] - F.col("a.cost") < 0.05))
-    return best.select("query_id", F.when(F.col("a").isNull() | rival, "").otherwise(F.col("a.company_id")).alias("company_id"))
+    common, hangul = learned(companies)
+    firms = described_companies(companies, common, hangul)
+    by_word = firms.select("id", "firsts", "common", F.explode("firsts").alias("w")).where("w <> ''")
+    classes = by_word.groupBy("w", "common").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min_by("firsts", "id").alias("firsts"))
+    sizes = firms.agg(F.max(F.size("common")).alias("most"), F.max(F.coalesce(F.array_max(F.transform("common", F.length)), F.lit(0))).alias("longest"), F.max(F.array_max(F.transform("firsts", F.length))).alias("top")).first()
+    reader = (common, hangul, sizes.most or 0, sizes.longest or 0, sizes.top or 0)
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(hashed(s), w) for w in pdf["w"] for s in neighbourhood(w, edits_for(w))], columns=["key", "w"])
+
+    index = materialise(by_word.select("w").distinct().mapInPandas(spread, "key long, w string"), "names")
+    bits = spark.sparkContext.broadcast(presence(index, index.count()))  # at most FILTER_BITS
+
+    asked = queries.where("query_id is not null and trim(query) <> ''").select(F.col("query_id").cast("long").alias("query_id"), F.md5("query").alias("q"), "query")
+    texts = asked.groupBy("q").agg(F.first("query").alias("query"))  # equal texts are read once, and joins carry digests
+    asked = asked.select("query_id", "q")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told, there = _reader(*reader), bits.value
+        mask = 8 * len(there) - 1
+        for pdf in batches:
+            rows = []
+            for q, query in zip(pdf["q"], pdf["query"]):
+                if number := number_in(query):
+                    rows.append((q, number, 0))
+                else:
+                    rows += [(q, None, k) for k in told.probes(query) if there[(s := k & mask) >> 3] >> (s & 7) & 1]
+            yield pd.DataFrame(rows, columns=["q", "digits", "key"])
+
+    probes = materialise(texts.mapInPandas(look, "q string, digits string, key long"), "probes")
+    near = salted_join(probes.where("digits is null").select("q", "key"), index, ["key"]).select("q", "w").distinct()
+    pairs = salted_join(near, classes, ["w"]).join(texts, "q")
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told = _reader(*reader)
+        for pdf in batches:
+            rows = []
+            for q, query, w, own, low, high, firsts in zip(pdf["q"], pdf["query"], pdf["w"], pdf["common"], pdf["low"], pdf["high"], pdf["firsts"]):
+                cost, whole = told.score(query, list(firsts) if low == high else [w], tuple(own))
+                if cost is not None:
+                    rows.append((q, w, list(own), low, high, cost, whole))
+            yield pd.DataFrame(rows, columns=["q", "w", "common", "low", "high", "cost", "whole"])
+
+    weighed = materialise(pairs.mapInPandas(weigh, "q string, w string, common array<string>, low string, high string, cost double, whole boolean"), "weighed")
+    named = weighed.where("whole").select("q", F.explode(F.array_distinct(F.array("low", "high"))).alias("id"), "cost")
+    # what one part leaves open between the companies of a class another part may tell
+    several = weighed.where("not whole and low <> high").select("q", "w", "common").join(by_word, ["w", "common"]).select("q", "id", "firsts", "common").distinct().join(texts, "q")
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told = _reader(*reader)
+        for pdf in batches:
+            scores = [told.score(query, list(f), tuple(c)) for query, f, c in zip(pdf["query"], pdf["firsts"], pdf["common"])]
+            yield pd.DataFrame([(q, i, s[0]) for q, i, s in zip(pdf["q"], pdf["id"], scores) if s[0] is not None and s[1]], columns=["q", "id", "cost"])
+
+    numbers = firms.where("digits is not null").groupBy("digits").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    by_number = probes.where("digits is not null").select("q", "digits").join(numbers, "digits")
+    named = named.unionByName(several.mapInPandas(tell, "q string, id string, cost double"))
+    named = named.unionByName(by_number.select("q", F.explode(F.array_distinct(F.array("low", "high"))).alias("id"), F.lit(-1.0).alias("cost")))
+
+    least = named.groupBy("q", "id").agg(F.min("cost").alias("cost"))
+    two = least.withColumn("k", F.row_number().over(W.partitionBy("q").orderBy("cost", "id"))).where("k <= 2")
+    meant = two.groupBy("q").agg(F.min_by("id", "k").alias("company_id"), F.min("cost").alias("a"), F.max("cost").alias("b"), F.max("k").alias("n"))
+    meant = meant.where((F.col("n") == 1) | (F.col("b") - F.col("a") >= CLEAR)).select("q", "company_id")
+    return salted_join(asked, meant, ["q"]).select("query_id", "company_id").distinct()
+
+
+@lru_cache(maxsize=2)
+def _reader(*told: object) -> Reader:
+    return Reader(*told)
