@@ -1,18 +1,20 @@
 """Template residue and error-page text.
 
-Three character n-gram models are fitted: filler (placeholders and dummy text) and notices (error pages, demands for
-scripts) on phrases written out below and varied by rule, natural prose on the text cells of all
-documents. Residue is where the mean log-likelihood ratio over a window is high. A page is excluded if notice
-windows cover most of it, a text cell if filler windows cover a stretch of it; a stretch is then held against the
-marks of placeholders and the words of dummy text. Code, outputs, quotations, code spans and formulas are no
-author's words gone missing and are masked first.
+Character n-gram models of filler, of notices (error pages, demands for scripts) and of natural prose are fitted: the first
+two on the seed texts of ``seeds``, prose on the text cells of all documents. Residue is localised by windows in which the
+log-likelihood ratio is high, and a document is excluded by how much the windows cover: notice windows a share of a whole
+page, filler windows a share of a sentence of a text cell.
+
+Words are read by 4-grams of letters, unfilled slots by 4-grams of shapes, in which a word is one sign and a number
+another, so a slot is known by its marks whatever it asks for. Filler has to be likelier than prose and than a notice.
+Code, outputs, quotations, code spans and formulas are no author's words gone missing; they speak for nothing.
 """
 
 from __future__ import annotations
 
-import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,101 +22,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordweave.llm.cells import CODE, OUTPUT, PAGE, TEXT, segments
-from recordweave.runtime import ship
+from recordweave.llm.seeds import DELIMITERS, seed_texts
+from recordweave.runtime import materialise, ship
 
-ORDER = 4
+WORD_ORDER = 4
+SHAPE_ORDER = 4
 BUCKETS = 1 << 16
-WINDOW = 8
-MIN_RATIO = 0.5
-NOTICE_COVERAGE = 0.5
-
-# Common wordings of error pages, notices and dummy text, and the marks of unfilled slots.
-NOTICES = """Please enable JavaScript to view this page.
-You need to enable JavaScript to run this app.
-JavaScript is disabled in your browser. JavaScript is required.
-This site requires JavaScript. Please turn on JavaScript and reload the page.
-Script execution is turned off; turn it on and reload this page.
-This viewer needs scripts to run, but they seem to be blocked.
-Your browser does not run scripts, so this can't be shown. <noscript></noscript>
-Loading... (requires JavaScript)
-Loading notebook... (requires JavaScript)
-Cookies must be enabled too. Allow scripts for this site and try again. Then reload the page.
-Checking your browser before opening the site. Skip to content | Sign in
-Bitte aktivieren Sie JavaScript, um die Seite zu sehen. Bitte aktivieren Sie JavaScript, um das Notizbuch zu sehen.
-이 페이지를 보려면 자바스크립트를 켜 주세요. 자바스크립트를 활성화해 주세요.
-Por favor, active JavaScript para ver esta página. Habilite JavaScript en su navegador.
-Access denied. You do not have permission to view this page. You do not have permission to view this notebook. Reference #
-Rate limit reached for this address. Try again in 12 minutes. Too many requests.
-The page you asked for could not be found or opened. The requested URL was not found on this server.
-Page not found. This page is no longer here. Whoops, this notebook is no longer here (404).
-Error 500. That is all we know about /page. Error 404. That is all we know.
-Sorry, something went wrong. Reload? Unable to render this notebook. Unable to render this page.
-Oops! We ran into a problem while converting /nb/page.ipynb Error reading JSON notebook.
-Kernel gateway timed out while waiting for /nb/page.ipynb The viewer gave up after 30 s.
-Die angeforderte Seite /nb/page.ipynb wurde nicht gefunden (Fehler 404). Seite nicht gefunden. Zugriff verweigert.
-요청하신 페이지를 찾을 수 없습니다 (404). 주소를 다시 확인해 주세요. 접근이 거부되었습니다.
-La página solicitada no existe (error 404). No se ha encontrado la página. Acceso denegado.
-Go back to the start page | Help | Status Request id: 1c5d6e40 proxy-12
-404 : Not Found 403 : Forbidden 410 : Gone 429 : Too Many Requests
-{"message": "Not Found", "status": 404, "path": "/nb/page.ipynb"}
-<html><head><title>502 Bad Gateway</title></head><body><h1>Bad Gateway</h1><hr></body></html>"""
-STATUSES = """400 Bad Request
-401 Unauthorized
-403 Forbidden
-404 Not Found
-408 Request Timeout
-410 Gone
-429 Too Many Requests
-500 Internal Server Error
-502 Bad Gateway
-503 Service Unavailable
-504 Gateway Time-out"""
-LATIN = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis "
-    "nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla "
-    "pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
-).split()
-MASHED = "asdf qwer qwerty xxxx zxcv blah foo bar test test hjkl".split()
-DUMMIES = """Text goes here.
-Your text here. Insert text here. Add a description here. Content goes here.
-Dummy text for the body of this section, to be replaced later.
-Placeholder text. This is placeholder text. Replace this text.
-This is sample text to show the layout. Replace this paragraph with your own words.
-Hier steht ein Blindtext als Platzhalter. Dies ist ein Blindtext. Platzhaltertext. Text einfügen.
-여기에 내용을 입력하세요. 예시 문구입니다. 내용을 입력해 주세요. 텍스트를 입력하세요.
-Aquí va el texto. Texto de relleno. Texto de ejemplo. Escriba aquí su texto."""
-SLOTS = ["{{ X }}", "{{X}}", "{{cookiecutter.X}}", "[[X]]", "__X__", "@@X@@", "#{X}", "<<X>>", "<%= X %>", "%X%", "${X}", "{% block X %}{% endblock %}", "[INSERT X]", "[Your X here]", "<Enter the X>", "<your X>", "(X to be filled in)", "XXX X goes here XXX", "[TODO: X]", "<insert X here>"]
-SLOT_WORDS = "name title author date goal dataset results summary contact project_name ProjectName owner source method period email company description topic abstract version".split()
-
-_SLOT = re.compile(
-    r"\{\{\s*[\w.\- ]{1,40}\s*\}\}|\[\[\s*[^\W\d][\w \-]{1,40}\]\]|(?<!\w)__[A-Z][A-Z0-9_]*[A-Z0-9]__(?!\w)|@@\w[\w \-]{0,40}@@|#\{\s*[\w.]{1,40}\s*\}|<<\s*[\w \-]{1,40}>>|<%=?\s*[\w.]{1,40}\s*%>"
-    r"|(?<![\w%])%[A-Z][A-Z0-9_]+%(?![\w%])|\$\{\s*[\w.]{1,40}\s*\}|\{%\s*block \w+\s*%\}\s*\{%\s*endblock\s*\w*\s*%\}"
-    r"|\[(?:INSERT|ENTER|ADD|TODO|YOUR|Insert|Enter|Add|Your|your|insert|enter)\b[^\]\n]{1,60}\](?!\()|<(?:Enter|Insert|Add|Your|enter|insert|add|your)\b[^>\n]{1,60}>"
-    r"|\([^()\n]{1,40}\bto be (?:filled in|added|completed|determined)\)|XXX [^\n]{1,40}? XXX|\b(?:XXX|TBD)\b(?= goes here)"
-)
-_DUMMY = re.compile(
-    r"(?:text|content|description) goes here|(?:your|insert|add) (?:text|content|description) here|dummy text\b|placeholder text|sample text to show|replace this (?:text|paragraph|section)|blindtext|platzhaltertext|내용을 입력|예시 문구|텍스트를 입력|texto de (?:relleno|ejemplo)|escriba aquí|aquí va el texto",
-    re.I,
-)
-_WORD = re.compile(r"[^\W\d_]+")
+#: (n-grams in a window, least sum of log-likelihood ratios) of filler windows over letters and over shapes.
+WORD_WINDOWS = ((16, 12.0), (10, 12.0))
+SHAPE_WINDOW = (4, 5.0)
+#: Share of a sentence that filler windows cover, from which its cell is excluded.
+FILLER_COVERAGE = 0.08
+#: Notice windows, and the share of a page that they cover, from which it is excluded.
+NOTICE_WINDOW = (16, 8.0)
+NOTICE_COVERAGE = 0.35
+#: Stands for what speaks for nothing; so many between two cells that no window reads both.
+BLANK = "\0"
+GAP = "\n" + BLANK * 16 + "\n"
+
 _QUOTED = re.compile(r"```.*?```|`[^`\n]*`|\$\$.*?\$\$|\$(?!\{)[^$\n]+\$|\"[^\"\n]*\"|“[^”\n]*”|„[^“\n]*“|«[^»\n]*»", re.S)
+_SPACES = re.compile(r"[^\S\n]")
+_SENTENCE = re.compile(r"[^\n\0]+?(?:[.!?](?=\s)|(?=[\n\0])|$)")
 
 
 def masked(text: str) -> str:
-    """The text with quotations, code spans and formulas blanked out, at the same length."""
-    return _QUOTED.sub(lambda m: " " * len(m[0]), text)
+    """The text with quotations, code spans and formulas blanked out, at the same length, and plain blanks."""
+    return _SPACES.sub(" ", _QUOTED.sub(lambda m: BLANK * len(m[0]), text))
 
 
-def grams(text: str) -> np.ndarray:
-    """The bucket of the n-gram that ends at each character."""
-    codes = np.frombuffer((" " * (ORDER - 1) + text).lower().encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    n = len(codes) - ORDER + 1
+def _hashed(codes: np.ndarray, order: int) -> np.ndarray:
+    """The bucket of the n-gram that ends at each code from the ``order``-th on; 0 where it holds a BLANK."""
+    n = len(codes) - order + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    mixed = np.zeros(n, np.uint64)
-    for j in range(ORDER):
-        mixed = mixed * np.uint64(1_000_003) + codes[j : j + n]
-    return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    mixed, void = np.zeros(n, np.uint64), np.zeros(n, bool)
+    for j in range(order):
+        part = codes[j : j + n].astype(np.uint64)
+        mixed = mixed * np.uint64(1_000_003) + part
+        void |= part == 0
+    found = ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
+    return np.where(void, 0, np.maximum(found, 1))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def word_grams(text: str) -> np.ndarray:
+    """The bucket of the n-gram of letters that ends at each character; a line break parts words as a blank does."""
+    text = text.replace("\n", " ")
+    lower = text.lower()
+    return _hashed(_codes(" " * (WORD_ORDER - 1) + (lower if len(lower) == len(text) else "".join(c if len(c.lower()) > 1 else c.lower() for c in text))), WORD_ORDER)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    kinds = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x30000):
+        if (ch := chr(c)).isalpha():
+            kinds[c] = ord("a")
+        elif ch.isdigit():
+            kinds[c] = ord("9")
+    return kinds
+
+
+def shape_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of the n-gram of shapes that begins at each sign, where the sign begins in the text). A run of letters,
+    joined by single underscores, is one sign, a run of digits another, all else is as it is; a line end surrounds the text."""
+    codes = _codes("\n" + text + "\n")
+    kinds = _kinds()[codes].copy()
+    letter = kinds == ord("a")
+    joint = np.zeros(len(codes), bool)
+    joint[1:-1] = (codes[1:-1] == ord("_")) & letter[:-2] & letter[2:]
+    kinds[joint] = ord("a")
+    same = np.zeros(len(codes), bool)
+    same[1:] = (kinds[1:] == kinds[:-1]) & ((kinds[1:] == ord("a")) | (kinds[1:] == ord("9")))
+    at = np.flatnonzero(~same)
+    return _hashed(kinds[at], SHAPE_ORDER), np.maximum(at - 1, 0)
+
+
+def counted(texts: list[str]) -> np.ndarray:
+    """In how many of the texts each n-gram stands: of letters in the first half, of shapes in the second."""
+    total = np.zeros(2 * BUCKETS)
+    for t in texts:
+        words, shapes = np.unique(word_grams(t)), np.unique(shape_grams(t)[0])
+        total[words[words > 0]] += 1
+        total[BUCKETS + shapes[shapes > 0]] += 1
+    return total
 
 
 def _table(counts: np.ndarray) -> np.ndarray:
@@ -122,160 +116,110 @@ def _table(counts: np.ndarray) -> np.ndarray:
     return np.log(0.9 * counts / max(1.0, counts.sum()) + 0.1 / BUCKETS)
 
 
-def seed_texts(rng_seed: int = 7) -> tuple[list[str], list[str]]:
-    """(filler, notices): the phrases above, varied by rule."""
-    rng = random.Random(rng_seed)
-    filler = [" ".join(rng.choices(LATIN, k=20)).capitalize() + "." for _ in range(120)] + [" ".join(rng.choices(MASHED, k=12)) for _ in range(60)]
-    for line in DUMMIES.split("\n"):
-        filler += [line] * 25
-    for slot in SLOTS:
-        for word in SLOT_WORDS:
-            filler += [slot.replace("X", w, 1) if "XXX" not in slot else f"XXX {w} goes here XXX" for w in {word, word.upper(), word.capitalize()}]
-    notices = []
-    for line in NOTICES.split("\n"):
-        notices += [line] * 12
-    for status in STATUSES.split("\n"):
-        code, name = status.split(" ", 1)
-        notices += [status, f"{code} : {name}", f'{{"message": "{name}", "status": {code}, "path": "/nb/page.ipynb"}}', f"<html><head><title>{status}</title></head><body><h1>{name}</h1><hr></body></html>"] * 4
-    return filler, notices
-
-
-def _counted(texts: list[str]) -> np.ndarray:
-    total = np.zeros(BUCKETS)
-    for t in texts:
-        total += np.bincount(grams(t), minlength=BUCKETS)
-    return total
+def covered(ratio: np.ndarray, size: int, least: float) -> np.ndarray:
+    """The places that lie in a window whose ratios sum to ``least``, in proportion where there are fewer than ``size``."""
+    n, w = len(ratio), min(size, len(ratio))
+    if not n:
+        return np.zeros(0, bool)
+    total = np.concatenate([[0.0], np.cumsum(ratio)])
+    high = np.flatnonzero(total[w:] - total[:-w] >= least * w / size)
+    mark = np.zeros(n + 1, np.int64)
+    np.add.at(mark, high, 1)
+    np.add.at(mark, high + w, -1)
+    return np.cumsum(mark[:-1]) > 0
 
 
-def prose_counts(documents: DataFrame) -> np.ndarray:
-    """In how many documents each n-gram stands in a masked text cell."""
+class ResidueModel:
+    """Log-likelihood ratios against prose, and the two decisions."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(BUCKETS, np.int64)
-        for pdf in batches:
-            for text, form in zip(pdf["text"], pdf["export_form"]):
-                cells = [grams(masked(part)) for kind, part in segments(text, form) if kind == TEXT]
-                if cells:  # once a document, so that no long or repetitive text outweighs the others
-                    sums[np.unique(np.concatenate(cells))] += 1
-        at = np.flatnonzero(sums)
-        yield pd.DataFrame({"gram": at, "n": sums[at]})
+    def __init__(self, prose: np.ndarray, filler: list[str] | None = None, notices: list[str] | None = None) -> None:
+        """prose: counts as ``counted`` gives them. filler, notices: other texts to fit on than the seeds."""
+        seeds = seed_texts()
+        filler, notices = seeds[0] if filler is None else filler, seeds[1] if notices is None else notices
+        slots = [before + d.replace("X", w) + after for d in (*DELIMITERS, "<X X>", "<X X X>") for w in ("name", "name 1") for before, after in ((" ", " "), ("", ""), (" ", "."))]
+        natural, notice = _table(prose[:BUCKETS]), _table(counted(notices)[:BUCKETS])
+        self.notice = notice - natural
+        self.words = _table(counted(filler)[:BUCKETS]) - np.maximum(natural, notice)
+        self.shapes = _table(counted(slots)[BUCKETS:]) - _table(prose[BUCKETS:])
+        for table in (self.notice, self.words, self.shapes):
+            table[0] = 0.0
+
+    def is_notice(self, page: str) -> bool:
+        """Notice windows cover enough of a page."""
+        page = _SPACES.sub(" ", page.strip())
+        return bool(page) and float(covered(self.notice[word_grams(page)], *NOTICE_WINDOW).mean()) >= NOTICE_COVERAGE
+
+    def filler(self, cells: str) -> np.ndarray:
+        """The characters of masked text that lie in filler windows."""
+        ratio = self.words[word_grams(cells)]
+        mark = covered(ratio, *WORD_WINDOWS[0])
+        for size, least in WORD_WINDOWS[1:]:
+            mark |= covered(ratio, size, least)
+        grams, begins = shape_grams(cells)
+        for k in np.flatnonzero(covered(self.shapes[grams], *SHAPE_WINDOW)):
+            mark[begins[k] : begins[min(k + SHAPE_ORDER, len(begins) - 1)]] = True
+        return mark
+
+    def has_filler(self, cells: str) -> bool:
+        """Filler windows cover enough of a sentence of masked text cells."""
+        mark = self.filler(cells)
+        if not mark.any():
+            return False
+        total = np.concatenate([[0], np.cumsum(mark)])
+        return any(total[m.end()] - total[m.start()] >= max(1, FILLER_COVERAGE * (m.end() - m.start())) for m in _SENTENCE.finditer(cells))
 
-    rows = documents.where("text is not null").select("text", "export_form").mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows
-    counts = np.zeros(BUCKETS)
-    counts[rows["gram"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
-    return counts
 
+def parts(text: str | None, form: str | None) -> tuple[str | None, str | None]:
+    """(page, cells) of a document: its whole text where it holds no code and no output, else null; its masked text cells,
+    GAP around each, null where it has none."""
+    found = segments(text, form)
+    cells = [masked(p) for kind, p in found if kind == TEXT and p.strip()]
+    page = None
+    if found and not any(kind in (CODE, OUTPUT) for kind, _ in found):
+        page = text if found[0][0] == PAGE else "\n".join(p for _, p in found)
+    return page, (GAP + GAP.join(cells) + GAP) if cells else None
 
-def all_filler(words: list[str]) -> bool:
-    """Two words or more, all of dummy Latin or all mashed keys, and not only words that prose has as well."""
-    if len(words) < 2:
-        return False
-    if all(w in _LATIN for w in words):
-        return not _COMMON.issuperset(words)
-    return all(w in _MASHED for w in words) and (not _COMMON.issuperset(words) or len(set(words)) < len(words))
 
+def read_parts(documents: DataFrame) -> DataFrame:
+    """(doc_id, page, cells) of every document, parsed once and written; fitting and scanning read what is written."""
 
-def filler_lines(cell: str, text: str) -> bool:
-    """The cell as a whole, or one of its lines, is dummy words and nothing else. text: the cell masked; a line with a quotation is no such line."""
-    at, every = 0, []
-    for line in cell.split("\n"):
-        first = _WORD.search(line)
-        if first is None:
-            at += len(line) + 1
-            continue
-        words = [w.lower() for w in _WORD.findall(line)] if first[0].lower() in _FILLER and text[at : at + len(line)] == line else None
-        if words and all_filler(words):
-            return True
-        every = None if every is None or words is None else every + words
-        at += len(line) + 1
-    return bool(every) and all_filler(every)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            both = [parts(t, f) for t, f in zip(pdf["text"], pdf["export_form"])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "page": [b[0] for b in both], "cells": [b[1] for b in both]})
 
+    rows = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "export_form")
+    return materialise(rows.mapInPandas(read, "doc_id long, page string, cells string").where("page is not null or cells is not null"), "cells")
 
-class ResidueModel:
-    """Log-likelihood ratios against prose, and the two decisions."""
 
-    def __init__(self, prose: np.ndarray) -> None:
-        filler, notices = seed_texts()
-        natural = _table(prose)
-        self.filler = _table(_counted(filler)) - natural
-        self.notice = _table(_counted(notices)) - natural
-
-    @staticmethod
-    def _windows(ratio: np.ndarray) -> np.ndarray:
-        """Characters that lie in a window of high mean ratio."""
-        n, w = len(ratio), min(WINDOW, len(ratio))
-        if not n:
-            return np.zeros(0, bool)
-        total = np.concatenate([[0.0], np.cumsum(ratio)])
-        high = (total[w:] - total[:-w]) / w >= MIN_RATIO
-        mark = np.zeros(n + 1, np.int64)
-        np.add.at(mark, np.flatnonzero(high), 1)
-        np.add.at(mark, np.flatnonzero(high) + w, -1)
-        return np.cumsum(mark[:-1]) > 0
-
-    def is_notice(self, text: str) -> bool:
-        """Most of a page's characters lie in notice windows."""
-        text = text.strip()
-        return bool(text) and float(self._windows(self.notice[grams(text)]).mean()) >= NOTICE_COVERAGE
-
-    def stretches(self, text: str) -> list[str]:
-        """Pieces of a masked text cell that lie in filler windows, widened to whole lines' words."""
-        covered = self._windows(self.filler[grams(text)])
-        cut = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
-        found = []
-        for a, b in zip(cut[::2], cut[1::2]):
-            a, b = max(0, a - WINDOW), min(len(text), b + WINDOW)
-            while a > 0 and not text[a - 1].isspace():
-                a -= 1
-            while b < len(text) and not text[b].isspace():
-                b += 1
-            found.append(text[a:b])
-        return found
-
-    def has_filler(self, cell: str) -> bool:
-        """A text cell holds an unfilled slot or dummy text outside quotations."""
-        text = masked(cell)
-        if filler_lines(cell, text):
-            return True
-        for piece in self.stretches(text):
-            if _SLOT.search(piece) or _DUMMY.search(piece):
-                return True
-            words = [w.lower() for w in _WORD.findall(piece)]
-            for vocabulary in (_LATIN, _MASHED):
-                run = best = 0
-                for w in words:
-                    run = run + 1 if w in vocabulary else 0
-                    best = max(best, run)
-                if best >= 5:
-                    return True
-        return False
-
-    def excluded(self, text: str | None, form: str | None) -> bool:
-        parts = segments(text, form)
-        if not parts:
-            return False
-        if not any(k in (CODE, OUTPUT) for k, _ in parts) and self.is_notice("\n".join(p for _, p in parts) if parts[0][0] != PAGE else text):
-            return True
-        return any(k == TEXT and self.has_filler(p) for k, p in parts)
+def prose_counts(read: DataFrame) -> np.ndarray:
+    """In how many documents each n-gram stands in a text cell; once a document, so that no long or repetitive text
+    outweighs the others."""
 
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(2 * BUCKETS, np.int64)
+        for pdf in batches:
+            sums += counted(list(pdf["cells"])).astype(np.int64)
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"gram": at, "n": sums[at]})
 
-_LATIN = frozenset(LATIN)
-_MASHED = frozenset(MASHED)
-_FILLER = _LATIN | _MASHED
-#: Words of the two lists that are words of English, German or Spanish too; alone they speak for no filler.
-_COMMON = frozenset("ad aliqua amet anim bar do dolor duis elit est et ex id in minim mollit nisi non officia quis sed sit sunt tempor test ut velit".split())
+    rows = read.where("cells is not null").select("cells").mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * BUCKETS rows
+    counts = np.zeros(2 * BUCKETS)
+    counts[rows["gram"].to_numpy(np.int64)] = rows["n"].to_numpy(float)
+    return counts
 
 
 def residue_documents(documents: DataFrame) -> DataFrame:
     """(doc_id) of the documents to exclude. Empty and null texts are kept (they hold no residue); null ids have no row;
     texts of any length are read whole; a repeated document gives one row."""
     ship(documents.sparkSession)
-    model = documents.sparkSession.sparkContext.broadcast(ResidueModel(prose_counts(documents)))  # a fixed 1 MB
+    read = read_parts(documents)
+    model = documents.sparkSession.sparkContext.broadcast(ResidueModel(prose_counts(read)))  # a fixed 2 MB
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told = model.value
         for pdf in batches:
-            bad = [model.value.excluded(t, f) for t, f in zip(pdf["text"], pdf["export_form"])]
+            bad = [bool(p) and told.is_notice(p) or bool(c) and told.has_filler(c) for p, c in zip(pdf["page"], pdf["cells"])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"][bad]})
 
-    rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "export_form")
-    return rows.mapInPandas(scan, "doc_id long").distinct()
+    return read.where("doc_id is not null").mapInPandas(scan, "doc_id long").distinct()
