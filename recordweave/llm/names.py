@@ -503,7 +503,7 @@ def resolve(queries: DataFrame, companies: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["q", "digits", "key"])
 
     probes = materialise(texts.mapInPandas(look, "q string, digits string, key long"), "probes")
-    near = salted_join(probes.where("digits is null").select("q", "key"), index, ["key"]).select("q", "w").distinct()
+    near = materialise(salted_join(probes.where("digits is null").select("q", "key"), index, ["key"]).select("q", "w").distinct(), "near")
     pairs = salted_join(near, classes, ["w"]).join(texts, "q")
 
     def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
