@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from recordweave.llm import leakage
 from recordweave.llm.cells import segments
 from recordweave.llm.leakage import PassageIndex, leaks
@@ -71,6 +73,53 @@ def test_passage_over_two_cells_is_no_leak():
     assert index.leaks(" ".join(passage[:11])) == set()
 
 
+def test_tails_of_long_passages_and_segments(spark):
+    rng = random.Random(13)
+    many = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(180_000)]  # a passage of two million characters
+    passage = " ".join(many)
+    assert len(passage) > 2_000_000
+    items = spark.createDataFrame([(1, "s", passage, None), (2, "s", sentence(rng, 30), None)], ITEMS)
+    padding = " ".join(f"pad{k}" for k in range(250_000))  # a segment of over two million characters
+    cut = {1: many[:40], 2: many[-40:], 3: many[90_000:90_012], 4: many[-11:], 5: many[-12:]}
+    docs = [(k, " ".join(w), "fenced") for k, w in cut.items()] + [(10, f"{padding} {' '.join(many[-30:])}", "fenced"), (11, f"{' '.join(many[-30:])} {padding}", "fenced"), (12, passage, "fenced")]
+    assert sorted(tuple(r) for r in leaks(spark.createDataFrame(docs, DOCS), items).collect()) == [(k, 1) for k in (1, 2, 3, 5, 10, 11, 12)]
+
+
+def test_pieces_keep_every_run():
+    rng = random.Random(17)
+    passage = [f"w{rng.randrange(10**4)}" for _ in range(12)]
+    index = PassageIndex(((1, " ".join(passage)),))
+    for size in (60, 90, 200):
+        for k in range(0, 60, 7):
+            line = leakage.words_line(" ".join([*(f"x{i}" for i in range(k)), *passage, *(f"y{i}" for i in range(50))])).encode()
+            cut = list(leakage.pieces(line, size, index.longest + leakage.Q))
+            assert sum(leakage.words_line(" ".join(passage)).encode() in p for p in cut) >= 1 and all(p[:1] == p[-1:] == b" " for p in cut)
+
+
+def test_repetitive_passages_and_texts():
+    index = PassageIndex(((1, "tick tock " * 5_000), (2, "tick tock " * 6), (3, "a b " * 40)))
+    assert index.leaks("tick tock " * 20_000) == {1, 2}
+    assert index.leaks("b a b a b a b a b a b a") == {3} and index.leaks("b a b a b a b a b a b") == set()
+    assert len(index.gram) < 5_000
+
+
+def test_a_phrase_that_all_passages_share():
+    rng = random.Random(19)
+    shared = "you may assume at most three rows per table and"  # ten words, no leak
+    items = [(i, "s", f"{sentence(rng, 9)} {shared} {sentence(rng, 9)}", None) for i in range(400)]
+    index = PassageIndex(tuple((i, p) for i, _, p, _ in items))
+    said = items[7][2].split()
+    for text in (f"{shared} " * 50, " ".join([*said[4:24], *shared.split()]), " ".join([*said[:8], "else", *said[8:]])):
+        assert {(0, i) for i in index.leaks(text)} == brute([(0, text, "fenced")], items)
+
+
+def test_alignment_goes_over_edits():
+    index = PassageIndex(((1, "abcdefgh ijklmnop qrstuvwx yz012345 " * 4),), words=2, edits=1)
+    line = b" abcdefgh ijklXmnop qrstuvwx "
+    stretches = index.aligned(np.frombuffer(line, np.uint8), 0, 0, 1)
+    assert stretches[0] == (0, 14) and stretches[1] == (15, 29)
+
+
 def test_long_text_and_empty_tables(spark):
     rng = random.Random(9)
     passage = sentence(rng, 40)
