@@ -136,7 +136,7 @@ class ResidueModel:
         """prose: counts as ``counted`` gives them. filler, notices: other texts to fit on than the seeds."""
         seeds = seed_texts()
         filler, notices = seeds[0] if filler is None else filler, seeds[1] if notices is None else notices
-        slots = [before + d.replace("X", w) + after for d in (*DELIMITERS, "<X X>", "<X X X>") for w in ("name", "name 1") for before, after in ((" ", " "), ("", ""), (" ", "."))]
+        slots = [before + d.replace("X", w) + after for d in (*DELIMITERS, "<X X>", "<X X X>") for w in ("name", "name 1") for before, after in ((" ", " "), ("", ""), (" ", "."), ("# ", ""), (": ", ""))]  # in a sentence, alone, as a heading, as a value
         natural, notice = _table(prose[:BUCKETS]), _table(counted(notices)[:BUCKETS])
         self.notice = notice - natural
         self.words = _table(counted(filler)[:BUCKETS]) - np.maximum(natural, notice)
