@@ -487,7 +487,9 @@ def resolve(queries: DataFrame, companies: DataFrame) -> DataFrame:
     bits = spark.sparkContext.broadcast(presence(index, index.count()))  # at most FILTER_BITS
 
     asked = queries.where("query_id is not null and trim(query) <> ''").select(F.col("query_id").cast("long").alias("query_id"), F.md5("query").alias("q"), "query")
-    texts = asked.groupBy("q").agg(F.first("query").alias("query"))  # equal texts are read once, and joins carry digests
+    # equal texts are read once, and joins carry digests; reading costs more than bytes tell, so the number of tasks is given
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = asked.repartition(tasks, "q").groupBy("q").agg(F.first("query").alias("query"))
     asked = asked.select("query_id", "q")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
