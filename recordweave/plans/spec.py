@@ -13,6 +13,8 @@ from dataclasses import dataclass, fields
 from dataclasses import field as made
 from typing import Any
 
+from recordweave.plans.reltime import is_token
+
 SOURCES = ("entities", "events", "series")
 MODES = ("count", "list", "aggregate")
 COMPARISONS = ("eq", "ne", "gt", "gte", "lt", "lte")
@@ -25,7 +27,6 @@ EXPRESSIONS = ("add", "sub", "mul", "div")
 LIST_OPERATORS = ("eq", "ne", "reached")
 MAX_ROWS = 1000
 _WORD = re.compile(r"[^\W\d]\w{0,40}")
-_TOKEN = re.compile(r"@(?:(?:today|this_week_start|this_month_start|last_month_start|this_year_start)(?:[+-]\d{1,4}[dwm])?|(?:month_start|month_end|last_full_week_start|last_full_week_end)\(\d{4}-\d{2}\))")
 
 
 class SpecError(ValueError):
@@ -197,10 +198,6 @@ class QuerySpec:
     asks: dict[str, Any] | None = None
 
 
-def is_token(value: object) -> bool:
-    return isinstance(value, str) and _TOKEN.fullmatch(value) is not None
-
-
 def is_date(value: object) -> bool:
     if not isinstance(value, str) or not re.fullmatch(r"\d{4}-\d{2}-\d{2}", value):
         return False
