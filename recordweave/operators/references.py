@@ -8,14 +8,12 @@ to costs one partial row per task; the detailed report joins only rows whose key
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordweave.functions.times import instant_us, utc_month_text
-
-#: A key in question with at least this share of the references is spread over SALT tasks; at most 1/HOT_SHARE keys are.
-HOT_SHARE = 0.001
-SALT = 64
+from recordweave.operators.skew import hot_keys, salted_join
+from recordweave.runtime import materialise
 
 
 def key_counts(references: DataFrame, existence: DataFrame) -> DataFrame:
@@ -36,26 +34,14 @@ def key_counts(references: DataFrame, existence: DataFrame) -> DataFrame:
 
 def orphans(references: DataFrame, existence: DataFrame) -> DataFrame:
     """The rows of ``references`` that lead nowhere, with ``reason``: missing, retracted or later (first that holds)."""
-    counts = key_counts(references, existence)
+    counts = materialise(key_counts(references, existence), "key-counts")  # read for the hot keys and for the join
     dead = (F.col("refs") > 0) & (F.col("exists") <= 0)
     late = F.col("since") > F.col("first_ref")
-    asked = counts.where(dead | late).select("target_table", "target_id", "refs", "exists", "seen", "since")
-    total = F.greatest(F.lit(1), F.floor(F.lit(HOT_SHARE) * F.sum("refs")))
-    limit = counts.agg(total.cast("long").alias("n")).first().n or 1
-    hot = asked.where(F.col("refs") >= max(limit, 10_000)).select("target_table", "target_id")  # at most 1/HOT_SHARE rows
-    keys = [(r.target_table, r.target_id) for r in hot.collect()]
-    is_hot = _is_one_of(keys)
-    spread = F.when(is_hot, F.pmod(F.xxhash64(*[c for c in references.columns]), F.lit(SALT))).otherwise(F.lit(0)).cast("int")
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))
-    joined = references.withColumn("salt", spread).join(asked.withColumn("salt", F.explode(copies)), ["target_table", "target_id", "salt"])
+    key = ["target_table", "target_id"]
+    asked = counts.where(dead | late).select(*key, "refs", "exists", "seen", "since")
+    joined = salted_join(references, asked, key, hot_keys(asked, key, "refs"))
     reason = F.when(F.col("seen") == 0, "missing").when(F.col("exists") <= 0, "retracted").when(F.col("since") > F.col("moment"), "later")
-    return joined.withColumn("reason", reason).where("reason is not null").drop("salt", "refs", "exists", "seen", "since")
-
-
-def _is_one_of(keys: list[tuple[str, str]]) -> Column:
-    if not keys:
-        return F.lit(False)
-    return F.struct("target_table", "target_id").isin([F.struct(F.lit(a).alias("target_table"), F.lit(b).alias("target_id")) for a, b in keys])
+    return joined.withColumn("reason", reason).where("reason is not null").drop("refs", "exists", "seen", "since")
 
 
 def reference_fields(schemas: DataFrame) -> list[tuple[str, str, str]]:

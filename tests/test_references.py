@@ -1,6 +1,6 @@
 import json
 
-from recordweave.operators import references
+from recordweave.operators import references, skew
 from replay_by_hand import COLUMNS, START, row
 
 ENTITIES = "id string, type string, schema_version int, doc string, retracted boolean, created_at string, updated_at string, last_event_seq long, event_ids array<string>, reached array<string>"
@@ -47,7 +47,7 @@ def test_targets_of_events(spark):
 
 
 def test_hot_key_is_salted_and_whole(spark, monkeypatch):
-    monkeypatch.setattr(references, "HOT_SHARE", 0.1)
+    monkeypatch.setattr(skew, "HOT_SHARE", 0.1)
     n = 12_000
     entities = spark.range(n).selectExpr("concat('a', id) AS id", "'application' AS type", "1 AS schema_version", "'{\"company_id\": \"hot\"}' AS doc", "false AS retracted", "'2025-03-01T00:00:00Z' AS created_at", "'' AS updated_at", "1L AS last_event_seq", "array('') AS event_ids", "array('') AS reached")
     _, companies, schemas, events = tables(spark, [])
