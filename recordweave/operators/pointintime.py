@@ -5,11 +5,13 @@ before T. Each change becomes versions (a payload that holds over an interval of
 are co-grouped by record, and the version that applies is found by vectorised binary search.
 
 Versions without an end (nearly all) go through a segmented running maximum of replay order and one
-``searchsorted``; versions with an end (later voided or corrected) are painted newest-first onto the events they
-cover, which is near-linear.
+``searchsorted``; versions with an end (later voided or corrected) are laid over the stretch of events they cover in a
+tree of maxima, all versions of a group at once. Whether a value was ever held asks only for the furthest end among the
+versions begun by then: a running maximum and one ``searchsorted``.
 
 Long records are cut into slices of time. A slice holds the versions that begin or end in it, plus one carried row
-per field for everything that holds throughout it, so no group grows with a record's length.
+per field (of the field whose values are gathered, one per value) for everything that holds throughout it, so no group
+grows with a record's length.
 """
 
 from __future__ import annotations
@@ -83,7 +85,7 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[c for c in pdf.columns if c != "fixes"])
 
 
-def sliced(held: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sliced(held: DataFrame, asked: DataFrame, reached: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Adds ``slice`` to versions and events, and the carried rows that stand for what holds all through a slice."""
     sizes = held.groupBy("entity_id").agg(F.count("*").alias("n"), F.min("from_us").alias("low"), F.max("from_us").alias("high"))
     long = sizes.where(F.col("n") > LONG_RECORD).select("entity_id", "low", ((F.col("high") - F.col("low")) / F.ceil(F.col("n") / (LONG_RECORD / 2)) + 1).cast("long").alias("width"))
@@ -100,19 +102,21 @@ def sliced(held: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = begins.where("last > slice").withColumn("slice", F.col("last")).drop("low", "width", "last")
     through = begins.where("width is not null")
     best = F.max_by(F.struct("value", "rank_a", "rank_b", "rank_c", "from_us"), F.struct("rank_a", "rank_b", "rank_c"))
-    # statuses reached need every value, so values are carried one by one; of equal values the newest stands
-    closed = through.where("last > slice + 1").withColumn("slice", F.explode(F.sequence(F.col("slice") + 1, F.col("last") - 1))).groupBy("entity_id", "field", "value", "slice").agg(best.alias("b"))
-    opened = through.where("last is null").groupBy("entity_id", "field", "value", "slice").agg(best.alias("b"))
+    # the field that is gathered needs every value, so its values are carried one by one; of any other the newest stands
+    through = through.withColumn("own", F.when(F.col("field") == F.lit(reached), F.col("value")))
+    key = ["entity_id", "field", "own"]
+    closed = through.where("last > slice + 1").withColumn("slice", F.explode(F.sequence(F.col("slice") + 1, F.col("last") - 1))).groupBy(*key, "value", "slice").agg(best.alias("b"))
+    opened = through.where("last is null").groupBy(*key, "slice").agg(best.alias("b"))
     spans = through.groupBy("entity_id").agg(F.max(at("from_us")).alias("top"))
     top = spans.select("entity_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("top") + 1)).alias("slice"))
-    heads = opened.groupBy("entity_id", "field", "value").agg(F.min("slice").alias("first"))
-    grid = heads.join(top, "entity_id").where("slice > first").select("entity_id", "field", "value", "slice", F.lit(None).cast(opened.schema["b"].dataType).alias("b"))
-    before = W.partitionBy("entity_id", "field", "value").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    both = opened.unionByName(grid).groupBy("entity_id", "field", "value", "slice").agg(F.first("b", True).alias("b"))
+    heads = opened.groupBy(*key).agg(F.min("slice").alias("first"))
+    grid = heads.join(top, "entity_id").where("slice > first").select(*key, "slice", F.lit(None).cast(opened.schema["b"].dataType).alias("b"))
+    before = W.partitionBy(*key).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    both = opened.unionByName(grid).groupBy(*key, "slice").agg(F.first("b", True).alias("b"))
     order = F.when(F.col("b").isNotNull(), F.struct("b.rank_a", "b.rank_b", "b.rank_c"))
-    carried = both.select("entity_id", "field", "value", "slice", F.max_by("b", order).over(before).alias("b")).where("b is not null")
+    carried = both.select(*key, "slice", F.max_by("b", order).over(before).alias("b")).where("b is not null")
     rows = [own, ends] + [
-        df.select("entity_id", "field", "value", "b.rank_a", "b.rank_b", "b.rank_c", F.col("b.from_us").alias("from_us"), F.lit(END).cast("long").alias("to_us"), "slice") for df in (closed, carried)
+        df.select("entity_id", "field", "b.value", "b.rank_a", "b.rank_b", "b.rank_c", F.col("b.from_us").alias("from_us"), F.lit(END).cast("long").alias("to_us"), "slice") for df in (closed, carried)
     ]
     whole = rows[0]
     for r in rows[1:]:
@@ -130,7 +134,7 @@ def as_known(asked: DataFrame, held: DataFrame, fields: tuple[str, ...], reached
     Repeated events, equal ranks and records without versions are handled; everything is "" if nothing was known.
     """
     ship(asked.sparkSession)
-    held, asked = sliced(held, asked)
+    held, asked = sliced(held, asked, reached)
     total = held.count()
     groups = max(1, -(-total // GROUP_ROWS))
     key = lambda df: df.withColumn("g", F.pmod(F.xxhash64("entity_id", "slice"), F.lit(groups)))
@@ -166,7 +170,7 @@ def _search(events: pd.DataFrame, changes: pd.DataFrame, fields: tuple[str, ...]
             best = _latest(of_change[open_], start[open_], rank[open_], of_event, asked)
         ended = mine[closed[of_change[mine]]]
         if len(ended):
-            painted = _paint(of_change[ended], start[ended], end[ended], rank[ended], of_event, asked)
+            painted = _covering(of_change[ended], start[ended], end[ended], rank[ended], of_event, asked)
             best = np.maximum(best, painted)
         hit = best >= 0
         if f == "+":
@@ -188,52 +192,55 @@ def _search(events: pd.DataFrame, changes: pd.DataFrame, fields: tuple[str, ...]
 
 def _latest(code: np.ndarray, start: np.ndarray, rank: np.ndarray, ecode: np.ndarray, asked: np.ndarray) -> np.ndarray:
     """The highest rank among versions of the event's record that began strictly before it, else -1."""
-    ticks = np.unique(np.concatenate([start, asked]))
+    ticks, order = np.unique(np.concatenate([start, asked])), np.unique(rank)
     width = len(ticks) + 1
     at = code * width + np.searchsorted(ticks, start)
     by = np.argsort(at, kind="stable")
-    top = np.maximum.accumulate(code[by] * (rank.max() + 1) + rank[by])
+    top = np.maximum.accumulate(code[by] * len(order) + np.searchsorted(order, rank[by]))
     place = np.searchsorted(at[by], ecode * width + np.searchsorted(ticks, asked), side="left") - 1
     found = (place >= 0) & (code[by][np.maximum(place, 0)] == ecode)
-    return np.where(found, top[np.maximum(place, 0)] % (rank.max() + 1), -1)
+    return np.where(found, order[top[np.maximum(place, 0)] % len(order)], -1)
 
 
-def _paint(code: np.ndarray, start: np.ndarray, end: np.ndarray, rank: np.ndarray, ecode: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """As _latest for versions with ends: newest first, each version takes the events in its interval not yet taken."""
-    best = np.full(len(asked), -1, np.int64)
+def _covering(code: np.ndarray, start: np.ndarray, end: np.ndarray, rank: np.ndarray, ecode: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """As _latest for versions with ends. Events in order are the leaves of a tree; a version marks the few nodes that make
+    up the stretch of events it covers, and an event takes the highest rank on its way to the root."""
     by = np.lexsort((asked, ecode))
     ticks = np.unique(np.concatenate([start, end, asked]))
     width = len(ticks) + 1
     at = ecode[by].astype(np.int64) * width + np.searchsorted(ticks, asked[by])
-    low = np.searchsorted(at, code * width + np.searchsorted(ticks, start), side="right")
-    high = np.searchsorted(at, code * width + np.searchsorted(ticks, end), side="right")
-    free = list(range(len(at) + 1))  # next event not yet taken
-
-    def find(i: int) -> int:
-        root = i
-        while free[root] != root:
-            root = free[root]
-        while free[i] != root:
-            free[i], i = root, free[i]
-        return root
-
-    for v in np.argsort(-rank):
-        i = find(int(low[v]))
-        while i < high[v]:
-            best[by[i]] = rank[v]
-            free[i] = i + 1
-            i = find(i)
+    size = len(at)
+    low = np.searchsorted(at, code * width + np.searchsorted(ticks, start), side="right") + size
+    high = np.searchsorted(at, code * width + np.searchsorted(ticks, end), side="right") + size
+    tree = np.full(2 * size, -1, np.int64)
+    while (open_ := low < high).any():
+        odd = open_ & (low & 1 == 1)
+        np.maximum.at(tree, low[odd], rank[odd])
+        low = low + odd
+        odd = open_ & (high & 1 == 1) & (low < high)
+        high = high - odd
+        np.maximum.at(tree, high[odd], rank[odd])
+        low, high = low >> 1, high >> 1
+    node, top = np.arange(size) + size, np.full(size, -1, np.int64)
+    while node.any():
+        top = np.maximum(top, tree[node])
+        node = node >> 1
+    best = np.empty(size, np.int64)
+    best[by] = top
     return best
 
 
 def _reached(mine: np.ndarray, values: np.ndarray, code: np.ndarray, start: np.ndarray, end: np.ndarray, ecode: np.ndarray, asked: np.ndarray, n: int) -> np.ndarray:
-    sets: list[list[str]] = [[] for _ in range(n)]
-    for value in sorted({v for v in values[mine] if isinstance(v, str)}):
-        idx = np.flatnonzero(mine & (values == value))
-        had = _paint(code[idx], start[idx], end[idx], np.arange(len(idx)), ecode, asked) >= 0
-        for i in np.flatnonzero(had):
-            sets[i].append(value)
-    return np.array([",".join(s) for s in sets], object)
+    """Per event the values of which some version begun before it had not ended by it, sorted and joined."""
+    idx = np.flatnonzero(mine & np.array([isinstance(v, str) for v in values], bool))
+    kinds, kind = np.unique(values[idx].astype(str), return_inverse=True) if len(idx) else (np.zeros(0, str), np.zeros(0, int))
+    sets = np.full(n, "", object)
+    for k, value in enumerate(kinds):
+        own = idx[kind == k]
+        ends = _latest(code[own], start[own], end[own], ecode, asked)
+        had = ends >= asked
+        sets[had] = [f"{s},{value}" if s else str(value) for s in sets[had]]
+    return sets
 
 
 def p5_found(events: DataFrame) -> DataFrame:
@@ -242,7 +249,7 @@ def p5_found(events: DataFrame) -> DataFrame:
     outcome = F.from_json("payload", JSON_MAP)["to"].isin("passed", "rejected")
     asked = first_recordings(rows.where("kind = 'status_changed' and at_precision = 'time'").where(outcome), "at_us").select(F.col("id").alias("event_id"), "entity_id", "at_us")
     asked = materialise(asked, "asked")
-    of_interest = rows.join(asked.select("entity_id").distinct(), "entity_id", "left_semi")
+    of_interest = materialise(rows.join(asked.select("entity_id").distinct(), "entity_id", "left_semi"), "of-interest")  # read by every step below
     fields = ("status", "expected_rate")
     held = materialise(versions(of_interest, fields), "versions")
     return as_known(asked, held, fields, "status").select("event_id", "status", "expected_rate", "reached")

@@ -1,6 +1,7 @@
 from collections import defaultdict
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from recordweave.operators import feed, pointintime
@@ -31,6 +32,20 @@ def test_as_known_equals_replay_of_what_was_known(spark, monkeypatch, seed, long
     assert len(got) > 10
 
 
+def test_covering_and_reached_equal_a_plain_search():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (7, 30), (40, 200), (200, 50)):
+        code, ecode = rng.integers(0, 4, m), rng.integers(0, 4, n)
+        start, asked = rng.integers(0, 30, m), rng.integers(0, 35, n)
+        end, rank = start + rng.integers(1, 12, m), rng.permutation(m)
+        holds = (ecode[:, None] == code) & (start < asked[:, None]) & (asked[:, None] <= end)
+        want = np.where(holds, rank, -1).max(axis=1)
+        assert (pointintime._covering(code, start, end, rank, ecode, asked) == want).all()
+        values = np.array([None if v == 5 else f"s{v}" for v in rng.integers(0, 6, m)], object)
+        got = pointintime._reached(np.ones(m, bool), values, code, start, end, ecode, asked, n)
+        assert list(got) == [",".join(sorted({v for v, h in zip(values, row) if h and v is not None})) for row in holds]
+
+
 def test_empty(spark):
     assert pointintime.p5_found(spark.createDataFrame([], COLUMNS)).count() == 0
 
