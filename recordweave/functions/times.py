@@ -10,13 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY_US = 86_400_000_000
+#: An ISO instant with its offset.
+ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$"
 UNIT_US = {"hours": 3_600_000_000, "days": DAY_US, "weeks": 7 * DAY_US}
 
 
 def instant_us(text: Column) -> Column:
     """Microseconds since the epoch of an ISO instant; null where it is malformed or has no offset."""
-    zoned = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
-    return F.when(zoned, F.unix_micros(text.try_cast("timestamp")))
+    return F.when(text.rlike(ZONED), F.unix_micros(text.try_cast("timestamp")))
 
 
 def utc_day_number(us: Column) -> Column:

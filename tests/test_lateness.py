@@ -18,6 +18,12 @@ def test_edges_of_the_day_and_of_the_cut_off(spark):
     }
 
 
+def test_times_without_an_offset_fall_in_no_cell(spark):
+    rows = [row(1, "a", "x", "updated", {}, START, START + 2 * DAY)]
+    bare = [tuple(v.replace("+00:00", "") if isinstance(v, str) and v.startswith("20") else v for v in row(2, "b", "x", "updated", {}, START, START + 2 * DAY))]
+    assert [r.id for r in arrival_cells(spark.createDataFrame(rows + bare, COLUMNS)).collect()] == ["a"]
+
+
 def test_triangle_adds_up(spark):
     rows = [row(i, f"e{i}", "x", "updated", {"a": 1}, START + timedelta(hours=i), START + timedelta(hours=i * 9)) for i in range(1, 120)]
     out = arrival_triangle(arrival_cells(spark.createDataFrame(rows, COLUMNS))).collect()
