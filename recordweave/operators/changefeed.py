@@ -9,15 +9,14 @@ change touched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordweave.functions.times import instant_us
 from recordweave.operators.feed import DATA_KINDS, JSON_MAP, first_recordings, readable, status_payload, undated_places, voids_and_corrections
 from recordweave.runtime import materialise
 
-#: Key under which a record's last applied change travels through the resolution.
-LAST = ""
+#: What a row of the resolution is: a field's image, a record's last applied change, its creation, its retraction.
+FIELD, LAST, CREATED, RETRACTED = range(4)
 
 
 def replayable(events: DataFrame) -> DataFrame:
@@ -26,7 +25,11 @@ def replayable(events: DataFrame) -> DataFrame:
 
     Columns: id, entity_id, entity_type, kind, payload, seq, place_us.
     """
-    rows = readable(events)
+    return replay_rows(readable(events))
+
+
+def replay_rows(rows: DataFrame) -> DataFrame:
+    """``replayable`` of readable rows."""
     voids, corrections = voids_and_corrections(rows)
     latest = corrections.where("void_us is null").select("entity_id", F.col("target").alias("id"), F.lit(None).cast("boolean").alias("voided"), F.struct("seq", "payload").alias("correction"), F.lit(None).cast("long").alias("place"))
     voided = voids.select("entity_id", F.col("target").alias("id"), F.lit(True).alias("voided"), F.lit(None).cast("struct<seq:bigint,payload:string>").alias("correction"), F.lit(None).cast("long").alias("place"))
@@ -41,39 +44,62 @@ def apply_changes(events: DataFrame, batches: int = 4) -> DataFrame:
     """Current state per record: entity_id, entity_type, doc (field -> text, nulls left out), last_event_id, retracted.
 
     A record without a created event that holds gives no row. Repeated deliveries, equal times (recording
-    order decides), empty feeds and feeds with further columns are handled; an unreadable payload sets nothing.
+    order decides), empty feeds and feeds with further columns are handled; an unreadable payload sets nothing,
+    a field may have any name, and of a name that a payload has twice the last value counts.
+
+    Jobs run while the plan is built: the applied changes and what the middle batches settle are written.
     """
-    spans = events.agg(F.min(instant_us(F.col("at"))).alias("a"), F.max(instant_us(F.col("at"))).alias("b")).first()
+    rows = readable(events)
+    spans = rows.agg(F.min("at_us").alias("a"), F.max("at_us").alias("b")).first()
     low, high = (spans.a or 0), (spans.b or 0)
     width = max(1, -(-(high - low + 1) // batches))
-    applied = materialise(replayable(events), "replayable")
 
-    changes = applied.where("kind <> 'created'")
-    age = F.greatest(F.lit(0), F.least(F.lit(batches - 1), F.floor((F.lit(high) - F.col("place_us")) / width))).cast("int")
-    fields = F.coalesce(status_payload(F.col("kind"), F.col("payload")), F.create_map().cast(JSON_MAP))
-    images = changes.select("entity_id", "place_us", "seq", age.alias("age"), F.explode(F.map_concat(F.create_map(F.lit(LAST), F.col("id")), fields)).alias("field", "value"))
-    resolved = None
+    created = F.col("kind") == "created"
+    age = F.when(created, batches).otherwise(F.greatest(F.lit(0), F.least(F.lit(batches - 1), F.floor((F.lit(high) - F.col("place_us")) / width)))).cast("int")
+    applied = materialise(replay_rows(rows).withColumn("age", age), "applied", "age")  # by batch, so that each reads its own
+
+    piece = lambda what, field, value: F.struct(F.lit(what).alias("what"), field.alias("field"), value.alias("value"))
+    fields = F.map_entries(status_payload(F.col("kind"), F.col("payload")))
+    images = F.concat(F.array(piece(LAST, F.lit(""), F.col("id"))), F.coalesce(F.transform(fields, lambda e: piece(FIELD, e["key"], e["value"])), F.array()))
+    key = ["entity_id", "what", "field"]
+    settled = None
     for k in range(batches):  # newest first
-        batch = images.where(F.col("age") == k).groupBy("entity_id", "field").agg(F.max_by(F.struct("value"), F.struct("place_us", "seq")).alias("image"))
-        resolved = batch if resolved is None else resolved.unionByName(batch.join(resolved, ["entity_id", "field"], "left_anti"))
+        batch = applied.where(F.col("age") == k).select("entity_id", "place_us", "seq", F.posexplode(images).alias("k", "p"))
+        newest = F.max_by(F.struct("p.value"), F.struct("place_us", "seq", "k"))  # of a name given twice the last value
+        batch = batch.groupBy("entity_id", F.col("p.what").alias("what"), F.col("p.field").alias("field")).agg(newest.alias("image"))
+        settled = batch if settled is None else settled.unionByName(batch.join(settled, key, "left_anti"))
         if 0 < k < batches - 1:
-            resolved = materialise(resolved, f"resolved-{k}")
-    settled = resolved.groupBy("entity_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "image.value"))).alias("settled"))
-
-    first = F.struct("place_us", "seq")
-    base = applied.where("kind = 'created'").groupBy("entity_id").agg(F.min_by(F.struct("id", "entity_type", "payload"), first).alias("c"))
-    whole = readable(events).where("kind = 'retracted' and target_event_id is null").select("entity_id", F.lit(True).alias("retracted")).distinct()
-    state = base.join(settled, "entity_id", "left").join(whole, "entity_id", "left")
-    none = F.create_map().cast(JSON_MAP)
-    settled_or_none = F.coalesce("settled", none)
-    untouched = F.map_filter(F.coalesce(F.from_json("c.payload", JSON_MAP), none), lambda k, v: v.isNotNull() & ~F.map_contains_key(settled_or_none, k))
-    kept = F.map_filter(settled_or_none, lambda k, v: v.isNotNull() & (k != LAST))
+            settled = materialise(settled, f"settled-{k}")
+
+    no = F.lit(None).cast("struct<id:string,entity_type:string,payload:string>").alias("made")
+    made = F.when(F.lit(True), F.struct("id", "entity_type", "payload")).alias("made")
+    nothing = [F.lit("").alias("field"), F.lit(None).cast("string").alias("value")]
+    births = applied.where(F.col("age") == batches).select("entity_id", F.lit(CREATED).alias("what"), *nothing, made, F.struct("place_us", "seq").alias("place"))
+    gone = rows.where("kind = 'retracted' and target_event_id is null").select("entity_id", F.lit(RETRACTED).alias("what"), *nothing, no)
+    never = F.lit(None).cast("struct<place_us:bigint,seq:bigint>").alias("place")
+    parts = settled.select(*key, "image.value", no, never).unionByName(births).unionByName(gone.withColumn("place", never))
+    is_ = lambda what: F.col("what") == what
+    state = parts.groupBy("entity_id").agg(
+        F.min_by("made", "place").alias("made"), F.collect_list(F.when(is_(FIELD), F.struct("field", "value"))).alias("changed"),
+        F.max(F.when(is_(LAST), F.col("value"))).alias("last"), F.max(is_(RETRACTED)).alias("retracted"),
+    ).where("made is not null")
+    # base values of what no batch has settled come last
+    touched = F.transform("changed", lambda c: c["field"])
+    untouched = F.filter(entries(F.from_json("made.payload", JSON_MAP)), lambda e: ~F.array_contains(touched, e["key"]))
+    fields = F.filter(F.concat(F.transform("changed", lambda c: F.struct(c["field"].alias("key"), c["value"].alias("value"))), untouched), lambda e: e["value"].isNotNull())
     return state.select(
-        "entity_id", F.col("c.entity_type").alias("entity_type"), F.map_concat(untouched, kept).alias("doc"),
-        F.coalesce(settled_or_none[LAST], F.col("c.id")).alias("last_event_id"), F.coalesce("retracted", F.lit(False)).alias("retracted"),
+        "entity_id", F.col("made.entity_type").alias("entity_type"), F.map_from_entries(fields).alias("doc"), F.coalesce("last", "made.id").alias("last_event_id"), "retracted",
     )
 
 
+def entries(fields: Column) -> Column:
+    """The entries of a parsed payload; of a name that stands in it twice the last."""
+    every = F.map_entries(F.coalesce(fields, F.create_map().cast(JSON_MAP)))
+    names = F.transform(every, lambda e: e["key"])
+    last = F.filter(every, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["key"]))
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), every).otherwise(last)
+
+
 def p1_found(events: DataFrame) -> DataFrame:
     """entity_id, status, expected_rate, n_fields, last_event_id of every record that is not retracted as a whole."""
     state = apply_changes(events).where(~F.col("retracted"))

@@ -37,6 +37,13 @@ def test_statuses_reached_in_order(spark):
     assert {n: h for n, h in got.items() if n in want} == want
 
 
+def test_fields_of_any_name_and_names_given_twice(spark):
+    rows = [row(1, "a", "x", "created", {"": "e", "status": "new", "what": 1}, START, START), row(2, "b", "x", "updated", {"": "f", "field": "g"}, START, START), row(3, "c", "y", "created", {"k": None, "": "h"}, START, START)]
+    rows += [tuple('{"s": "old", "s": "last"}' if v == '{"twice": 1}' else v for v in row(4, "d", "z", kind, {"twice": 1}, START, START)) for kind in ("created",)]
+    state = {r.entity_id: (r.doc, r.last_event_id) for r in changefeed.apply_changes(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert state == {"x": ({"": "f", "status": "new", "what": "1", "field": "g"}, "b"), "y": ({"": "h"}, "c"), "z": ({"s": "last"}, "d")}
+
+
 def test_empty_feed(spark):
     assert changefeed.p1_found(spark.createDataFrame([], COLUMNS)).count() == 0
 
