@@ -1,8 +1,9 @@
 """Schemas that drift between files.
 
-Documents are loaded as path -> (value, raw type) rows; statistics per (record type, version, path, raw type) are
-aggregated map-side; changes between versions are read off the dictionary and the statistics; and documents of every
-version are projected onto one typed table per record type, with failed casts reported.
+Documents are loaded as path -> (value, raw type) rows; statistics per (file, record type, version, path, raw type) are
+aggregated map-side; changes between versions are read off the dictionary and the statistics of all files together, and
+what a file shows apart from the others of its version off its own; and documents of every version are projected onto one
+typed table per record type, with failed casts reported per record and per file.
 
 Two fields are the same thing under another name when they agree in type, format and reference and their descriptions
 or values do. Value evidence is two fixed-size sketches per (type, version, field): of the values and of their shapes.
@@ -14,11 +15,18 @@ import json
 import re
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordweave.runtime import materialise
+
 SHARE = 0.1
+#: Levels of objects in fields that are read, and what parts the names in a path.
+MAX_DEPTH = 3
+NESTED = "."
 #: Likeness from which two fields are one thing.
 SAME = 0.5
 
@@ -37,35 +45,90 @@ def json_type(value: Column) -> Column:
     )
 
 
+def with_file(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``file``, the name of the file a row was read from; "" where they come from no file."""
+    try:
+        return rows.withColumn("file", F.col("_metadata.file_name"))
+    except AnalysisException:
+        return rows.withColumn("file", F.lit(""))
+
+
+def _paths(value: Column, path: Column, depth: int) -> Column:
+    """Entries (path, depth, value) of a map of fields and of the objects in it, down to MAX_DEPTH."""
+    here = F.transform(F.map_entries(value), lambda e: F.struct(F.concat(path, e["key"]).alias("path"), F.lit(depth).alias("depth"), e["value"].alias("value")))
+    if depth == MAX_DEPTH:
+        return here
+    inner = lambda e: F.when(F.schema_of_variant(e["value"]).startswith("OBJECT"), _paths(F.try_variant_get(e["value"], "$", "map<string,variant>"), F.concat(e["path"], F.lit(NESTED)), depth + 1))
+    none = F.array().cast("array<struct<path:string,depth:int,value:variant>>")
+    return F.concat(here, F.flatten(F.transform(here, lambda e: F.coalesce(inner(e), none))))
+
+
 def path_values(records: DataFrame) -> DataFrame:
-    """(id, type, version, path, value variant, json_type) of each top-level field that is not null.
+    """(id, file, type, version, path, depth, value variant, json_type) of each field that is not null. Fields of an object
+    in a field follow it, with the path of the outer field, NESTED and their own name, MAX_DEPTH levels down.
 
-    records: id, type, version, doc (JSON text). A doc that is no JSON object has no paths.
+    records: id, type, version, doc (JSON text), and optionally file. A doc that is no JSON object has no paths.
     """
+    records = records if "file" in records.columns else records.withColumn("file", F.lit(""))
+    found = F.explode(_paths(F.from_json("doc", "map<string,variant>"), F.lit(""), 0)).alias("p")
     return (
-        records.select("id", "type", "version", F.explode(F.from_json("doc", "map<string,variant>")).alias("path", "value"))
+        records.select("id", "file", "type", "version", found).select("id", "file", "type", "version", "p.*")
         .where("value is not null").withColumn("json_type", json_type(F.col("value"))).where("json_type <> 'null'")
     )
 
 
 def current_records(entities: DataFrame) -> DataFrame:
-    """The row of highest last_event_seq per id, retracted ones included."""
-    row = F.max_by(F.struct("type", F.col("schema_version").cast("long").alias("version"), "doc"), F.coalesce("last_event_seq", F.lit(-1)))
-    return entities.where("id is not null").groupBy("id").agg(row.alias("r")).select("id", "r.*").where("type is not null and version is not null")
+    """id, type, version, doc, file of the row of highest last_event_seq per id, retracted ones included."""
+    row = F.max_by(F.struct("type", F.col("schema_version").cast("long").alias("version"), "doc", "file"), F.coalesce("last_event_seq", F.lit(-1)))
+    return with_file(entities).where("id is not null").groupBy("id").agg(row.alias("r")).select("id", "r.*").where("type is not null and version is not null")
 
 
 def path_statistics(records: DataFrame) -> DataFrame:
-    """Per type, version, path and raw type: n, and sketches of the values and of their shapes (digits and letters
+    """Per file, type, version, path and raw type: n, and sketches of the values and of their shapes (digits and letters
     folded). Rows with path "" count the records."""
     text = F.coalesce(F.expr("try_variant_get(value, '$', 'string')"), F.to_json("value"))
     shape = F.regexp_replace(F.regexp_replace(text, r"\d+", "9"), r"\p{L}+", "a")
     fields = path_values(records).withColumn("text", text).withColumn("shape", shape)
-    stats = fields.groupBy("type", "version", "path", "json_type").agg(F.count("*").alias("n"), F.theta_sketch_agg("text", F.lit(10)).alias("values"), F.theta_sketch_agg("shape", F.lit(8)).alias("shapes"))
+    stats = fields.groupBy("file", "type", "version", "path", "depth", "json_type").agg(F.count("*").alias("n"), F.theta_sketch_agg("text", F.lit(10)).alias("values"), F.theta_sketch_agg("shape", F.lit(8)).alias("shapes"))
     none = F.lit(None).cast("binary")
-    totals = records.groupBy("type", "version").agg(F.count("*").alias("n")).select("type", "version", F.lit("").alias("path"), F.lit("").alias("json_type"), "n", none.alias("values"), none.alias("shapes"))
+    counted = records if "file" in records.columns else records.withColumn("file", F.lit(""))
+    totals = counted.groupBy("file", "type", "version").agg(F.count("*").alias("n")).select("file", "type", "version", F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit("").alias("json_type"), "n", none.alias("values"), none.alias("shapes"))
     return stats.unionByName(totals)
 
 
+def of_all_files(statistics: DataFrame) -> DataFrame:
+    """The statistics of top-level fields with the files of a version taken together."""
+    merge = lambda c: F.expr(f"theta_union_agg(`{c}`) FILTER (WHERE `{c}` IS NOT NULL)").alias(c)
+    fields = statistics.where("path <> '' and depth = 0").groupBy("type", "version", "path", "json_type").agg(F.sum("n").alias("n"), merge("values"), merge("shapes"))
+    none = F.lit(None).cast("binary")
+    totals = statistics.where("path = ''").groupBy("type", "version").agg(F.sum("n").alias("n")).select("type", "version", F.lit("").alias("path"), F.lit("").alias("json_type"), "n", none.alias("values"), none.alias("shapes"))
+    return fields.unionByName(totals)
+
+
+def file_changes(statistics: DataFrame) -> DataFrame:
+    """file, record_type, version, path, change, n: how a file differs from all files of its type and version together.
+    ``added``: a path that less than SHARE of the other files' records have and at least SHARE of the file's; ``removed``: the
+    reverse; ``retyped``: at least SHARE of the file's values have a raw type that is rarer than that elsewhere (integer and
+    number being one). n is the number of values (records, if removed) concerned. A version in one file gives no row."""
+    family = F.when(F.col("json_type").isin(*_NUMERIC), "number").otherwise(F.col("json_type"))
+    key = ["type", "version"]
+    sizes = statistics.where("path = ''").select("file", *key, F.col("n").alias("size"))
+    whole = sizes.groupBy(*key).agg(F.sum("size").alias("all_size"), F.count("*").alias("files")).where("files > 1")
+    sizes = sizes.join(whole, key)
+    typed = statistics.where("path <> ''").groupBy("file", *key, "path", family.alias("family")).agg(F.sum("n").alias("n"))
+    present = typed.groupBy("file", *key, "path").agg(F.sum("n").alias("n"))
+    everywhere = present.groupBy(*key, "path").agg(F.sum("n").alias("all_n"))
+    grid = sizes.join(everywhere, key).join(present, ["file", *key, "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    mine, theirs = F.col("n") / F.col("size"), (F.col("all_n") - F.col("n")) / F.greatest(F.lit(1), F.col("all_size") - F.col("size"))
+    change = F.when((mine >= SHARE) & (theirs < SHARE), "added").when((mine < SHARE) & (theirs >= SHARE), "removed")
+    shown = grid.withColumn("change", change).where("change is not null").select("file", F.col("type").alias("record_type"), "version", "path", "change", F.when(F.col("change") == "removed", F.col("size")).otherwise(F.col("n")).alias("n"))
+    kinds = typed.groupBy(*key, "path", "family").agg(F.sum("n").alias("all_kind"))
+    kept = typed.join(sizes.select("file", *key), ["file", *key]).join(kinds, [*key, "path", "family"]).join(everywhere, [*key, "path"]).join(present.withColumnRenamed("n", "mine"), ["file", *key, "path"])
+    rare = (F.col("n") >= SHARE * F.col("mine")) & (F.col("all_kind") - F.col("n") < SHARE * (F.col("all_n") - F.col("mine")))
+    retyped = kept.where(rare & (F.col("all_n") > F.col("mine"))).select("file", F.col("type").alias("record_type"), "version", "path", F.lit("retyped").alias("change"), "n")
+    return shown.unionByName(retyped)
+
+
 def _overlap(a: str, b: str) -> Column:
     """Share of the smaller set of distinct values that the other holds, by sketch."""
     both = F.theta_sketch_estimate(F.theta_intersection(a, b))
@@ -222,9 +285,7 @@ def evidence(statistics: DataFrame, versions: dict[str, dict[int, dict[str, dict
 def schema_changes(entities: DataFrame, schemas: DataFrame) -> list[tuple[str, int, str, str, str]]:
     """(record_type, version, field, change, former_field), on the driver: as many rows as the dictionary has changes."""
     versions = dictionary(schemas)
-    from recordweave.runtime import materialise
-
-    shown = evidence(materialise(path_statistics(current_records(entities)), "path-statistics"), versions)
+    shown = evidence(of_all_files(materialise(path_statistics(current_records(entities)), "path-statistics")), versions)
     return [(t, v, f, c, o) for t, vs in sorted(versions.items()) for v, f, c, o in changes(vs, shown.get(t, Evidence()))]
 
 
@@ -234,7 +295,7 @@ def p2_found(entities: DataFrame, schemas: DataFrame) -> DataFrame:
     return entities.sparkSession.createDataFrame(schema_changes(entities, schemas), "record_type string, version long, field string, change string, former_field string")
 
 
-def consistent_table(entities: DataFrame, schemas: DataFrame, record_type: str, found: list[tuple[str, int, str, str, str]] | None = None) -> DataFrame:
+def consistent_table(entities: DataFrame, schemas: DataFrame, record_type: str, found: list[tuple[str, int, str, str, str]] | None = None, with_files: bool = False) -> DataFrame:
     """One typed row per record of a type: id, version, the fields of its last registered version, ``failed_casts``
     (fields whose value did not fit their type) and ``other`` (fields the dictionary does not have, as text).
 
@@ -251,7 +312,7 @@ def consistent_table(entities: DataFrame, schemas: DataFrame, record_type: str,
                 elif old in all_names and new not in all_names and new not in last:
                     all_names.append(new)
     records = current_records(entities).where(F.col("type") == record_type)
-    doc = records.select("id", "version", F.from_json("doc", "map<string,variant>").alias("m"))
+    doc = records.select("id", "version", "file", F.from_json("doc", "map<string,variant>").alias("m"))
     columns, failed = [], []
     for f, all_names in names.items():
         raw = F.coalesce(*[F.col("m")[n] for n in all_names])
@@ -263,14 +324,26 @@ def consistent_table(entities: DataFrame, schemas: DataFrame, record_type: str,
         failed.append(F.when(F.col(f"raw {f}").isNotNull() & value.isNull() & (json_type(F.col(f"raw {f}")) != "null"), F.lit(f)))
     used = {n for ns in names.values() for n in ns}
     other = F.transform_values(F.map_filter("m", lambda k, v: ~k.isin(*used)), lambda k, v: F.to_json(v))
-    return doc.select("id", "version", *columns, F.array_compact(F.array(*failed)).alias("failed_casts"), other.alias("other"))
+    return doc.select("id", "version", *columns, F.array_compact(F.array(*failed)).alias("failed_casts"), other.alias("other"), *([doc["file"]] if with_files else []))
+
+
+def failed_casts(entities: DataFrame, schemas: DataFrame) -> DataFrame:
+    """file, record_type, version, field, records, failed: how many of a file's records have a value for a field of the
+    consistent table that does not fit its type, out of all records of that version; no row where all fit."""
+    found = schema_changes(entities, schemas)
+    parts = []
+    for record_type in sorted(dictionary(schemas)):
+        wide = consistent_table(entities, schemas, record_type, found, with_files=True).select("file", "version", "failed_casts")
+        sizes = wide.groupBy("file", "version").agg(F.count("*").alias("records"))
+        lost = wide.select("file", "version", F.explode("failed_casts").alias("field")).groupBy("file", "version", "field").agg(F.count("*").alias("failed"))
+        parts.append(lost.join(sizes, ["file", "version"]).select("file", F.lit(record_type).alias("record_type"), "version", "field", "records", "failed"))
+    schema = "file string, record_type string, version long, field string, records long, failed long"
+    return reduce(DataFrame.unionByName, parts) if parts else entities.sparkSession.createDataFrame([], schema)
 
 
 def consistent_values(entities: DataFrame, schemas: DataFrame) -> DataFrame:
     """The consistent tables of all types of the dictionary in one long form: record_type, id, version, field, value (text),
     failed (the value did not fit its type and is null) and declared (false: one of ``other``). Absent values have no row."""
-    from functools import reduce
-
     found = schema_changes(entities, schemas)
     parts = []
     for record_type in sorted(dictionary(schemas)):

@@ -31,6 +31,15 @@ def p2_values(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_values(table(spark, d, "entities"), table(spark, d, "schemas"))
 
 
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """The path statistics of every file, without their sketches."""
+    return drift.path_statistics(drift.current_records(table(spark, d, "entities"))).select("type", "version", "path", "json_type", "n")
+
+
+def p2_failed(spark: SparkSession, d: str) -> DataFrame:
+    return drift.failed_casts(table(spark, d, "entities"), table(spark, d, "schemas")).drop("file")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lateness.late_events(table(spark, d, "record_events"))
 
@@ -52,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_trades": p2_trades,
     "p2_values": p2_values,
+    "p2_files": p2_files,
+    "p2_failed": p2_failed,
     "p4_found": p4_found,
     "p4_triangle": p4_triangle,
     "p5_found": p5_found,
@@ -90,6 +101,14 @@ SELECT id, CAST(schema_version AS BIGINT) AS version, doc->>'source_key' AS sour
        CAST(doc->>'amount' AS BIGINT) AS amount, CAST(doc->>'pnl' AS DOUBLE) AS pnl, doc->>'note' AS note, CAST(doc->>'fee' AS DOUBLE) AS fee,
        coalesce(doc->>'venue', doc->>'market') AS venue, '' AS failed_casts
 FROM cur
+""",
+    "p2_files": """
+WITH cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY last_event_seq DESC) AS rn FROM entities) WHERE rn = 1),
+ f AS (SELECT type, CAST(schema_version AS BIGINT) AS version, doc, unnest(json_keys(doc)) AS path FROM cur),
+ t AS (SELECT type, version, path, json_type(json_extract(doc, '$."' || path || '"')) AS k FROM f)
+SELECT type, version, path, CASE k WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' ELSE lower(k) END AS json_type, count(*) AS n
+FROM t WHERE k <> 'NULL' GROUP BY ALL
+UNION ALL SELECT type, CAST(schema_version AS BIGINT), '', '', count(*) FROM cur GROUP BY ALL
 """,
     "p4_found": f"""
 SELECT id AS event_id, period, CASE WHEN revision > 7 THEN 'dropped' ELSE 'corrects' END AS outcome FROM ({_CELLS}) WHERE revision > 0

@@ -66,3 +66,25 @@ def test_consistent_values_of_every_type(spark, tmp_path):
 
 def test_empty(spark):
     assert drift.p2_found(spark.createDataFrame([], ENTITIES), spark.createDataFrame([], SCHEMAS)).count() == 0
+
+
+def test_files_and_nested_paths(spark, tmp_path):
+    def write(rows):
+        spark.createDataFrame(rows, ENTITIES).coalesce(1).write.mode("append").parquet(f"{tmp_path}/entities.parquet")
+        return {p.name for p in (tmp_path / "entities.parquet").glob("*.parquet")}
+
+    usual = [entity(i, 1, {"place": "north", "size": i, "made": {"by": {"whom": "x"}, "on": 1}}) for i in range(20)]
+    (first,) = write(usual)
+    write([entity(i, 1, {"place": "south", "size": i, "made": {"by": {"whom": "y"}, "on": 2}}) for i in range(20, 40)])
+    (second,) = {p.name for p in (tmp_path / "entities.parquet").glob("*.parquet")} - {first}
+    before = {p.name for p in (tmp_path / "entities.parquet").glob("*.parquet")}
+    (odd,) = write([entity(i, 1, {"size": "many", "made": {"by": {"whom": "z"}, "at": 1}}) for i in range(40, 50)]) - before
+    entities = spark.read.parquet(f"{tmp_path}/entities.parquet")
+    stats = drift.path_statistics(drift.current_records(entities))
+    paths = {(r.file, r.path, r.json_type): r.n for r in stats.collect()}
+    assert paths[first, "made.by.whom", "string"] == 20 and paths[odd, "made.at", "integer"] == 10 and paths[odd, "", ""] == 10
+    assert (odd, "made.on", "integer") not in paths
+    found = {(r.file, r.path, r.change): r.n for r in drift.file_changes(stats).collect()}
+    assert found == {(odd, "place", "removed"): 10, (odd, "size", "retyped"): 10, (odd, "made.at", "added"): 10, (odd, "made.on", "removed"): 10, (first, "made.at", "removed"): 20, (second, "made.at", "removed"): 20}
+    schemas = spark.createDataFrame([schema("thing", 1, **ONE)], SCHEMAS)
+    assert {tuple(r) for r in drift.failed_casts(entities, schemas).collect()} == {(odd, "thing", 1, "size", 10, 10)}
