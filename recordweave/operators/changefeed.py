@@ -23,7 +23,7 @@ def replayable(events: DataFrame) -> DataFrame:
     """Data events as the replay applies them: first recordings, voided ones left out, payloads corrected,
     with the place in replay order (``place_us``, ``seq``); created events come before all others.
 
-    Columns: id, entity_id, entity_type, kind, payload, seq, place_us.
+    Columns: id, entity_id, entity_type, kind, payload, seq, at_us, place_us.
     """
     return replay_rows(readable(events))
 
@@ -37,7 +37,7 @@ def replay_rows(rows: DataFrame) -> DataFrame:
     notes = latest.unionByName(voided).unionByName(undated).groupBy("id", "entity_id").agg(F.max("voided").alias("voided"), F.max_by("correction.payload", "correction.seq").alias("corrected"), F.max("place").alias("place"))
     data = first_recordings(rows.where(F.col("kind").isin(*DATA_KINDS)), "entity_type", "kind", "payload", "at_us")
     joined = data.join(notes, ["id", "entity_id"], "left").where("voided is null")
-    return joined.select("id", "entity_id", "entity_type", "kind", F.coalesce("corrected", "payload").alias("payload"), "seq", F.coalesce("place", "at_us").alias("place_us"))
+    return joined.select("id", "entity_id", "entity_type", "kind", F.coalesce("corrected", "payload").alias("payload"), "seq", "at_us", F.coalesce("place", "at_us").alias("place_us"))
 
 
 def apply_changes(events: DataFrame, batches: int = 4) -> DataFrame:
@@ -53,11 +53,18 @@ def apply_changes(events: DataFrame, batches: int = 4) -> DataFrame:
     spans = rows.agg(F.min("at_us").alias("a"), F.max("at_us").alias("b")).first()
     low, high = (spans.a or 0), (spans.b or 0)
     width = max(1, -(-(high - low + 1) // batches))
+    age = F.greatest(F.lit(0), F.least(F.lit(batches - 1), F.floor((F.lit(high) - F.col("place_us")) / width)))
+    applied = with_age(replay_rows(rows).drop("at_us"), age, batches)
+    return resolved(materialise(applied, "applied", "age"), rows, batches)  # by batch, so that each reads its own
 
-    created = F.col("kind") == "created"
-    age = F.when(created, batches).otherwise(F.greatest(F.lit(0), F.least(F.lit(batches - 1), F.floor((F.lit(high) - F.col("place_us")) / width)))).cast("int")
-    applied = materialise(replay_rows(rows).withColumn("age", age), "applied", "age")  # by batch, so that each reads its own
 
+def with_age(applied: DataFrame, age: Column, batches: int) -> DataFrame:
+    """Applied changes with their batch, counted from the newest; creations come in a batch after all others."""
+    return applied.withColumn("age", F.when(F.col("kind") == "created", batches).otherwise(age).cast("int"))
+
+
+def resolved(applied: DataFrame, rows: DataFrame, batches: int) -> DataFrame:
+    """``apply_changes`` of applied changes with ``age``; of ``rows``, the readable feed, only retractions are read."""
     piece = lambda what, field, value: F.struct(F.lit(what).alias("what"), field.alias("field"), value.alias("value"))
     fields = F.map_entries(status_payload(F.col("kind"), F.col("payload")))
     images = F.concat(F.array(piece(LAST, F.lit(""), F.col("id"))), F.coalesce(F.transform(fields, lambda e: piece(FIELD, e["key"], e["value"])), F.array()))

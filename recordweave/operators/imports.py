@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,9 +17,36 @@ def difference(source: DataFrame, state: DataFrame, key: str) -> DataFrame:
     return joined.select(key, action.alias("action"), F.when(F.col("_there"), F.array_join(changed, ",")).otherwise("").alias("changed"))
 
 
-def vanished(source: DataFrame, state: DataFrame, key: str) -> DataFrame:
-    """Keys of the state that the source no longer has."""
-    return state.select(key).distinct().join(source.select(key), key, "left_anti")
+def outcomes(source: DataFrame, state: DataFrame, key: str, whole: bool = False) -> DataFrame:
+    """Per source document (key, doc: JSON text): ``action`` and the ``payload`` of the event that brings the state to it.
+
+    ``created``: the whole document. ``unchanged``: no event. ``updated``: the fields that differ, a null for each that is
+    gone. With ``whole`` a difference is a correction of the record's creation (``corrected``), whose payload is the whole
+    document. Values are compared as JSON, so spelling and the order of fields are no change."""
+    new = source.select(key, F.from_json("doc", "map<string,variant>").alias("_new"), F.col("doc").alias("_doc"))
+    old = state.select(key, F.from_json("doc", "map<string,variant>").alias("_old"), F.lit(True).alias("_there"))
+    joined = new.join(old, key, "left")
+    text = lambda m: F.transform_values(F.map_filter(m, lambda k, v: ~F.is_variant_null(v)), lambda k, v: F.to_json(v))
+    a, b = text(F.col("_new")), text(F.coalesce("_old", F.create_map().cast("map<string,variant>")))
+    differ = F.map_filter(a, lambda k, v: ~b[k].eqNullSafe(v))
+    gone = F.map_filter(b, lambda k, v: ~F.map_contains_key(a, k))
+    patch = F.map_concat(differ, F.transform_values(gone, lambda k, v: F.lit("null")))
+    fields = F.transform(F.array_sort(F.map_entries(patch)), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), e["value"]))
+    made = joined.withColumn("_n", F.size(patch)).withColumn("_patch", F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")))
+    action = F.when(F.col("_there").isNull(), "created").when(F.col("_n") == 0, "unchanged").otherwise("corrected" if whole else "updated")
+    payload = F.when(F.col("_there").isNull(), F.col("_doc")).when(F.col("_n") > 0, F.col("_doc") if whole else F.col("_patch"))
+    return made.select(key, action.alias("action"), payload.alias("payload"))
+
+
+def vanished(source: DataFrame, state: DataFrame, key: str, owned: Column | None = None, created_by: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """Keys of the state that the source no longer has. ``owned`` is a condition on state rows that are the source's to
+    report; ``created_by`` (events, recorder) keeps the records (entity_id = the state's ``id``) whose creation that recorder made."""
+    mine = state if owned is None else state.where(owned)
+    if created_by is not None:
+        events, recorder = created_by
+        made = events.where((F.col("kind") == "created") & (F.col("recorded_by") == recorder)).select(F.col("entity_id").alias("id")).distinct()
+        mine = mine.join(made, "id", "left_semi")
+    return mine.select(key).distinct().join(source.select(key), key, "left_anti")
 
 
 def combine(first: DataFrame, second: DataFrame, key: str, field: str, how: str) -> DataFrame:

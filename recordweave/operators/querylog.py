@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recordweave.functions.times import instant_us
+
 KEEP_SHARE = 0.2
 FILL = 0.9
 
@@ -24,6 +26,33 @@ def by_path(log: DataFrame) -> DataFrame:
     return log.groupBy("path").agg(F.count("*").alias("n"))
 
 
+def readings(log: DataFrame) -> DataFrame:
+    """question_norm, plans (different SQL texts it was answered with), asked: more than one plan means that the reading of
+    the question has moved."""
+    return log.where("question_norm is not null").groupBy("question_norm").agg(F.countDistinct("sql").alias("plans"), F.count("*").alias("asked"))
+
+
+def variants(log: DataFrame) -> DataFrame:
+    """question_norm, sql, n, first_id, last_id: every plan a question was answered with."""
+    return log.where("question_norm is not null and sql is not null").groupBy("question_norm", "sql").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+def trace_totals(traces: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """calls and the sums of every numeric column (tokens, cost, milliseconds) of traces, over all or per group."""
+    sums = [F.sum(c).alias(c) for c, t in traces.dtypes if c not in (by or []) and (t in ("int", "bigint", "float", "double") or t.startswith("decimal"))]
+    return traces.groupBy(*(by or [])).agg(F.count("*").alias("calls"), *sums)
+
+
+def summaries(results: DataFrame, by: list[str], seconds: str, correct: str) -> DataFrame:
+    """Per group: runs, mean and 95th percentile (interpolated) of the seconds, and the share of correct answers."""
+    return results.groupBy(*by).agg(F.count("*").alias("runs"), F.avg(seconds).alias("mean"), F.percentile(seconds, F.lit(0.95)).alias("p95"), F.avg(F.col(correct).cast("double")).alias("share"))
+
+
+def purged(log: DataFrame, before: str | None = None) -> DataFrame:
+    """The log without the rows asked before an instant (compared as instants); without one, nothing stays."""
+    return log.limit(0) if before is None else log.where(instant_us(F.col("asked_at")) >= instant_us(F.lit(before)))
+
+
 def retained(log: DataFrame, max_rows: int, max_bytes: int, block: int = 1 << 16) -> DataFrame:
     """The rows that stay. Nothing goes while both limits hold; then the newest errors and diverging rows stay within a
     fifth of max_rows, and the newest others until nine tenths of either limit are used.

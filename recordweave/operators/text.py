@@ -4,84 +4,112 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordweave.functions.names import compatible
+from recordweave.plans.spec import FieldDef
 from recordweave.runtime import ship
 
-_HEADING = re.compile(r"^(#{1,6})\s+(.*?)\s*#*$")
-_ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+(.*)$")
-_RULE = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)*\|?\s*$")
-_TEN_THOUSANDS = {"": 1, "만": 10_000, "억": 100_000_000}
+_HEADING = re.compile(r"(#{1,6})\s+(.*)")
+_ITEM = re.compile(r"\s{0,3}(?:[-*+]|\d{1,3}[.)])\s+")
+_RULE = re.compile(r"\|?\s*:?-{3,}.*")
+_TEN_THOUSANDS = {"만": 1e4, "억": 1e8}
+_WIDE, _PLAIN = "０１２３４５６７８９，．−－", "0123456789,.--"
+
+
+class Chunk(NamedTuple):
+    """A stretch of lines (first and last count from 1) under the headings of ``path``; a table row has its header."""
+
+    kind: str
+    path: str
+    first: int
+    last: int
+    text: str
+    header: str = ""
+
+
+def _line_kind(line: str) -> str:
+    bare = line.strip()
+    if not bare:
+        return "blank"
+    if bare.startswith("```"):
+        return "fence"
+    if _HEADING.match(line):
+        return "heading"
+    return "row" if bare.startswith("|") else "item" if _ITEM.match(line) else "paragraph"
+
+
+def chunks(text: str) -> list[Chunk]:
+    """The chunks of a Markdown text: front, code, row, item and paragraph. Any line end parts lines; a heading closes the
+    chunk before it and becomes, with its level, part of the path; an item or paragraph takes in the lines that follow it
+    until a blank line, a heading, a row, a fence or the next item; code without an end runs to the end of the text."""
+    lines = text.lstrip("\ufeff").splitlines()
+    kinds = [_line_kind(x) for x in lines]
+    found: list[Chunk] = []
+    path: list[str] = []
+    header, i = "", 0
+
+    def close(kind: str, a: int, b: int, header: str = "") -> int:
+        body = "\n".join(lines[a:b]).strip("\n")
+        if body.strip():
+            found.append(Chunk(kind, " > ".join(path), a + 1, b, body, header))
+        return b
 
-
-def chunks(text: str) -> list[tuple[str, str, int, int, str]]:
-    """(kind, path, first line, last line, text); kinds are front, code, row, item and paragraph, lines count from 1.
-    A table row is given with its header; headings are the path of what follows them."""
-    lines = text.removeprefix("﻿").split("\n")
-    found: list[tuple[str, str, int, int, str]] = []
-    path: list[tuple[int, str]] = []
-    where = lambda: " > ".join(t for _, t in path)
-    i = 0
     if lines and lines[0].strip() == "---":
         end = next((k for k in range(1, len(lines)) if lines[k].strip() == "---"), None)
-        if end is not None:
-            found.append(("front", "", 1, end + 1, "\n".join(lines[1:end])))
-            i = end + 1
+        i = 0 if end is None else close("front", 0, end + 1)
     while i < len(lines):
-        line = lines[i]
-        if not line.strip() or re.fullmatch(r"\s*(?:-{3,}|\*{3,}|_{3,})\s*", line):
+        kind = kinds[i]
+        header = "" if kind in ("item", "paragraph") else header
+        if kind == "blank":
             i += 1
-        elif line.lstrip().startswith("```"):
-            end = next((k for k in range(i + 1, len(lines)) if lines[k].lstrip().startswith("```")), len(lines) - 1)
-            found.append(("code", where(), i + 1, end + 1, "\n".join(lines[i : end + 1])))
-            i = end + 1
-        elif m := _HEADING.match(line):
-            path = [p for p in path if p[0] < len(m[1])] + [(len(m[1]), m[2])]
+        elif kind == "heading":
+            marks, title = _HEADING.match(lines[i]).groups()
+            path[len(marks) - 1 :] = [title.strip()]
             i += 1
-        elif "|" in line and i + 1 < len(lines) and _RULE.match(lines[i + 1]) and "-" in lines[i + 1]:
-            header, i = line.strip(), i + 2
-            while i < len(lines) and "|" in lines[i]:
-                found.append(("row", where(), i + 1, i + 1, f"{header}\n{lines[i].strip()}"))
-                i += 1
-        elif m := _ITEM.match(line):
-            end = i
-            while end + 1 < len(lines) and lines[end + 1].startswith("  ") and lines[end + 1].strip() and not _ITEM.match(lines[end + 1]):
-                end += 1
-            found.append(("item", where(), i + 1, end + 1, " ".join([m[1], *(x.strip() for x in lines[i + 1 : end + 1])])))
-            i = end + 1
+        elif kind == "fence":
+            i = close("code", i, next((k + 1 for k in range(i + 1, len(lines)) if kinds[k] == "fence"), len(lines)))
+        elif kind == "row":
+            if i + 1 < len(lines) and _RULE.fullmatch(lines[i + 1].strip()):
+                header, i = lines[i].strip(), i + 2
+            else:
+                i = close("row", i, i + 1, header)
         else:
-            end = i
-            while end + 1 < len(lines) and lines[end + 1].strip() and not _HEADING.match(lines[end + 1]) and not _ITEM.match(lines[end + 1]) and not lines[end + 1].lstrip().startswith("```"):
-                end += 1
-            found.append(("paragraph", where(), i + 1, end + 1, "\n".join(lines[i : end + 1])))
-            i = end + 1
+            i = close(kind, i, next((k for k in range(i + 1, len(lines)) if kinds[k] != "paragraph"), len(lines)))
     return found
 
 
 def split_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind, path, first_line, last_line, chunk, span_id) of every chunk; null texts have none."""
+    """(key, kind, path, first_line, last_line, chunk, header, span_id) of every chunk; null texts have none. A span id is
+    made of the document, the lines and the text, so the same chunk has the same id in every run."""
     ship(documents.sparkSession)
     kind = documents.schema[key].dataType.simpleString()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(k, *c) for k, t in zip(pdf["k"], pdf["t"]) for c in chunks(t)]
-            yield pd.DataFrame(rows, columns=["k", "kind", "path", "first_line", "last_line", "chunk"])
+            yield pd.DataFrame(rows, columns=["k", "kind", "path", "first_line", "last_line", "chunk", "header"])
+
+    out = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(split, f"k {kind}, kind string, path string, first_line int, last_line int, chunk string, header string")
+    return out.select(F.col("k").alias(key), "kind", "path", "first_line", "last_line", "chunk", "header", span_id("k", "first_line", "last_line", "chunk").alias("span_id"))
+
 
-    out = documents.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(split, f"k {kind}, kind string, path string, first_line int, last_line int, chunk string")
-    span = F.substring(F.sha1(F.concat_ws("\n", F.col("k").cast("string"), F.col("first_line").cast("string"), F.col("last_line").cast("string"), "chunk")), 1, 12)
-    return out.select(F.col("k").alias(key), "kind", "path", "first_line", "last_line", "chunk", span.alias("span_id"))
+def span_id(source: str, first: str, last: str, text: str) -> Column:
+    return F.concat(F.lit("span_"), F.substring(F.sha1(F.concat_ws("\n", *[F.col(c).cast("string") for c in (source, first, last, text)])), 1, 12))
 
 
 def numbers(text: Column) -> Column:
-    """The numbers of a text: signs, thousands separators, decimals, and the units of ten thousand and of a hundred million."""
-    found = F.regexp_extract_all(text, F.lit(r"([+-]?\d[\d,]*(?:\.\d+)?\s*[만억]?)"), F.lit(1))
-    plain = lambda t: F.regexp_replace(t, r"[,\s만억]", "").try_cast("double")
-    unit = lambda t: F.when(t.contains("억"), 1e8).when(t.contains("만"), 1e4).otherwise(1.0)
-    return F.transform(found, lambda t: plain(t) * unit(t))
+    """The numbers of a text: signs, thousands separators and decimals, full-width digits too. A number before the unit of
+    ten thousand or of a hundred million counts as it stands and multiplied."""
+    plain = F.translate(text, _WIDE, _PLAIN)
+    read = lambda t: F.regexp_replace(t, ",", "").try_cast("double")
+    found = F.transform(F.regexp_extract_all(plain, F.lit(r"((?<!\d)-?\d[\d,]*(?:\.\d+)?)"), F.lit(1)), read)
+    units = F.transform(F.regexp_extract_all(plain, F.lit(r"(\d+(?:\.\d+)?\s*[만억])"), F.lit(1)), lambda t: F.regexp_replace(t, r"[\s만억]", "").try_cast("double") * F.when(t.contains("억"), _TEN_THOUSANDS["억"]).otherwise(_TEN_THOUSANDS["만"]))
+    return F.array_compact(F.concat(found, units))
 
 
 def number_in_quote(value: Column, quote: Column) -> Column:
@@ -89,6 +117,44 @@ def number_in_quote(value: Column, quote: Column) -> Column:
     return F.exists(numbers(quote), lambda n: F.abs(n - value) < F.lit(1e-9))
 
 
+def same_words(text: Column | str) -> Column:
+    """A text as it is compared with a quote: compatibility form, lower case, single blanks."""
+    return F.trim(F.regexp_replace(F.lower(compatible(text)), r"\s+", " "))
+
+
+def evidence_problem(d: FieldDef, value: Column, quote: Column) -> Column:
+    """Why a value (text) does not come from its quote; null if it does. A flag is stated by any quote, a number by one of
+    the quote's numbers, a date by its month and day and, if the quote has a year, that, an enum value by itself or a label,
+    the items of a list (JSON) and any other text by standing in the quote."""
+    words, said = same_words(quote), same_words(value)
+    absent = value.isNull() | quote.isNull()
+    if d.type == "boolean":
+        wrong = F.when(words == "", "empty quote")
+    elif d.is_number:
+        wrong = F.when(~F.coalesce(number_in_quote(value.try_cast("double"), quote), F.lit(False)), "number not in the quote")
+    elif d.type == "array":
+        items = F.from_json(value, "array<string>")
+        bare = F.regexp_replace(F.lower(quote), r"\s+", " ")  # no Python function may stand inside a lambda
+        lost = F.filter(items, lambda x: ~bare.contains(F.regexp_replace(F.lower(F.trim(x)), r"\s+", " ")) & ~F.coalesce(number_in_quote(x.try_cast("double"), quote), F.lit(False)))
+        wrong = F.when(items.isNull() | (F.size(lost) > 0), "items not in the quote")
+    elif d.is_date:
+        there = F.transform(F.regexp_extract_all(F.translate(quote, _WIDE, _PLAIN), F.lit(r"(\d+)"), F.lit(1)), lambda t: t.try_cast("int"))
+        year, month, day = (F.substring(value, a, n).try_cast("int") for a, n in ((1, 4), (6, 2), (9, 2)))
+        yes = F.array_contains(there, month) & F.array_contains(there, day) & (F.array_contains(there, year) | F.array_contains(there, year % 100) | ~F.exists(there, lambda n: n > 31))
+        wrong = F.when(~F.coalesce(yes, F.lit(False)), "date not in the quote")
+    elif d.enum:
+        pairs = [(v, [v, *d.labels.get(v, [])]) for v in d.enum]
+        stated = F.lit(False)
+        for v, names in pairs:
+            for n in names:
+                stated = stated | ((value == v) & words.contains(" ".join(n.lower().split())))
+        known = value.isin(*d.enum)
+        wrong = F.when(known & ~stated, "neither the value nor its labels are in the quote").when(~known & ~words.contains(said), "text not in the quote")
+    else:
+        wrong = F.when(~words.contains(said), "text not in the quote")
+    return F.when(absent, "no value or quote").otherwise(wrong)
+
+
 def merged_facts(facts: DataFrame, identity: list[str], fields: list[str]) -> DataFrame:
     """One record per identity: distinct values per field joined by "|", spans (how many), conflict (a field with two values)."""
     values = [F.array_join(F.sort_array(F.collect_set(F.col(f).cast("string"))), "|").alias(f) for f in fields]

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from recordweave.functions.times import bucket
 from recordweave.plans.planner import Answer, Book, Planner
-from recordweave.plans.spec import QuerySpec
+from recordweave.plans.spec import FieldDef, QuerySpec
 
 SMALL = 5
 #: Days after which a series value is old, by granularity.
+RECENT_DAYS = 3
 STALE_DAYS = {"day": 7, "week": 21, "month": 62}
 
 
@@ -27,16 +28,24 @@ def missing_fields(book: Book, spec: QuerySpec) -> DataFrame:
     """field, missing: live records without a field that the answer uses; all fields in one pass."""
     records = Planner(book, spec).live(spec.entity_type)
     used = [f for f in fields_used(spec) if f in records.columns]
+    if not used:
+        return records.sparkSession.createDataFrame([], "field string, missing long")
     counts = records.agg(*[F.sum(F.col(f).isNull().cast("long")).alias(f) for f in used])
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(f, F.lit(0)).alias("missing")) for f in used])).alias("x")
     return counts.select(pairs).select("x.*").where("missing > 0")
 
 
 def small_groups(answer: Answer) -> DataFrame:
-    """The groups with fewer than SMALL rows."""
+    """The groups with fewer than SMALL rows; an answer without groups is one group, empty or not."""
     return answer.rows.where(F.col("n") < SMALL)
 
 
+def free_text(spec: QuerySpec, fields: dict[str, FieldDef]) -> list[str]:
+    """Fields in which the answer rests on matching words of free text."""
+    used = [*spec.filters, *(f for m in spec.measures for f in m.where)]
+    return sorted({f.field for f in used if f.op == "contains" and f.field in fields and fields[f.field].type == "string" and not fields[f.field].enum})
+
+
 def incomplete_periods(answer: Answer, spec: QuerySpec, today: dt.date) -> DataFrame:
     """The groups whose bucket is the one today lies in."""
     rows = answer.rows
@@ -65,10 +74,16 @@ def history_start(book: Book, answer: Answer, kind: str) -> DataFrame:
     return book.entities[kind].join(ids, "id", "left_semi").agg(F.min("created_at").alias("first"), F.max("created_at").alias("last"))
 
 
-def immature(book: Book, kind: str, date_field: str, days: int = 3) -> DataFrame:
-    """One row: live records of the last days, whose outcome may still come."""
-    since = book.today - dt.timedelta(days=days)
-    return book.entities[kind].where(F.col(date_field) >= F.lit(since)).agg(F.count("*").alias("records"))
+def asks_for_outcomes(spec: QuerySpec) -> bool:
+    """Counts narrowed by conditions of their own, or a condition on the status."""
+    return any(m.agg == "count" and (m.where or m.elapsed) for m in spec.measures) or any(f.field == "status" for f in spec.filters)
+
+
+def immature(answer: Answer, date_field: str, today: dt.date, days: int = RECENT_DAYS) -> DataFrame:
+    """One row: records of the answer whose date lies in the last ``days`` days, today among them, so that their outcome may
+    still come."""
+    since = today - dt.timedelta(days=days - 1)
+    return answer.matching.where(F.col(date_field).cast("date") >= F.lit(since)).agg(F.count("*").alias("records"))
 
 
 def dated_spans(answer: Answer, planner: Planner) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -30,9 +31,15 @@ def read_type(definition: dict[str, Any]) -> TypeDef:
         stray = [v for v in {*(d.get("labels") or {}), *(d.get("implies") or {})} if v not in (d.get("enum") or [])]
         if stray:
             wrong.append(f"{name}: {sorted(stray)} are not in its enum")
-        known = {k: d[k] for k in ("format", "ref", "description", "labels", "implies", "event") if d.get(k) is not None}
+        groups = d.get("value_groups") or {}
+        if any(len(vs) < 2 or not set(vs) <= set(d.get("enum") or ()) for vs in groups.values()):
+            wrong.append(f"{name}: a phrase stands for two or more values of its enum")
+        known = {k: d[k] for k in ("format", "ref", "description", "labels", "implies", "event") if d.get(k) is not None} | ({"groups": groups} if groups else {})
         fields[name] = FieldDef(d.get("type", "string"), enum=tuple(d.get("enum") or ()), identifier=bool(d.get("identifier")), indexed=bool(d.get("indexed")), required=name in (definition.get("required") or ()) or bool(d.get("required")), **known)
-    t = TypeDef(definition["name"], fields, definition.get("kind", "entity"), tuple(definition.get("series_key") or ()), definition.get("time_field"), definition.get("granularity", "day"), int(definition.get("version", 1)))
+    t = TypeDef(definition["name"], fields, definition.get("kind", "entity"), tuple(definition.get("series_key") or ()), definition.get("time_field"), definition.get("granularity", "day"), int(definition.get("version", 1)),
+                definition.get("description") or "", tuple(definition.get("keywords") or ()), definition.get("default_date_field"), tuple(map(tuple, definition.get("relations") or ())), tuple(map(tuple, definition.get("vague_terms") or ())))
+    if t.default_date and (t.default_date not in fields or not fields[t.default_date].is_date):
+        wrong.append("the default date is a date field")
     if t.kind == "series":
         if t.time not in fields or not fields[t.time].is_date:
             wrong.append("a series has a time field that is a date")
@@ -65,6 +72,37 @@ def breaking(old: TypeDef, new: TypeDef) -> list[str]:
     return said
 
 
+def written_type(t: TypeDef) -> dict[str, Any]:
+    """The JSON definition of a type; ``read_type`` reads it back."""
+    fields = {}
+    for name, f in t.fields.items():
+        d: dict[str, Any] = {"type": f.type}
+        for key, value in (("format", f.format), ("ref", f.ref), ("description", f.description), ("enum", list(f.enum)), ("labels", f.labels), ("implies", f.implies), ("event", f.event), ("value_groups", f.groups), ("identifier", f.identifier), ("indexed", f.indexed), ("required", f.required)):
+            if value:
+                d[key] = value
+        fields[name] = d
+    out: dict[str, Any] = {"name": t.name, "version": t.version, "kind": t.kind, "fields": fields}
+    for key, value in (("series_key", list(t.key)), ("time_field", t.time), ("description", t.description), ("keywords", list(t.keywords)), ("default_date_field", t.default_date), ("relations", list(map(list, t.relations))), ("vague_terms", list(map(list, t.vague)))):
+        if value:
+            out[key] = value
+    return out | ({"granularity": t.granularity} if t.kind == "series" else {})
+
+
+def with_field(t: TypeDef, name: str, **changes: Any) -> TypeDef:
+    """The next version of a type, with a field added or changed."""
+    old = t.fields.get(name)
+    new = FieldDef(**changes) if old is None else replace(old, **changes)
+    return replace(t, version=t.version + 1, fields=t.fields | {name: new})
+
+
+def with_group(t: TypeDef, field: str, phrase: str, values: list[str]) -> TypeDef:
+    """The next version of a type, in which a phrase stands for several values of a field."""
+    f = t.fields.get(field)
+    if f is None or len(set(values)) < 2 or not set(values) <= set(f.enum):
+        raise ValueError(f"a phrase stands for two or more values of the enum of {field}")
+    return with_field(t, field, groups=f.groups | {phrase.strip().lower(): sorted(set(values), key=f.enum.index)})
+
+
 class Registry:
     """Types by name and version; registering a version again without change does nothing."""
 

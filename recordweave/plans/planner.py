@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from zoneinfo import ZoneInfo
 
@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recordweave.functions.names import candidates, identify
 from recordweave.functions.times import UNIT_US, bucket
 from recordweave.operators.asof import asof_join
+from recordweave.operators.moving import moving
 from recordweave.plans import reltime
 from recordweave.plans.spec import EVENT_TYPE, Elapsed, EventRef, Filter, GroupKey, QuerySpec, SpecError, TimePoint, TypeDef, Value, is_token, parse, problems
 
@@ -48,6 +50,14 @@ class Book:
         return (moment - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
 
 
+class AskBack(SpecError):
+    """A name that cannot be read with certainty; ``options`` are the records it may mean."""
+
+    def __init__(self, problem: str, options: list[str]) -> None:
+        super().__init__([problem])
+        self.options = options
+
+
 @dataclass
 class Answer:
     """``rows``: the listed rows, or one row per group with ``n``. ``matching`` holds every row that counts, with its
@@ -57,11 +67,17 @@ class Answer:
     rows: DataFrame
     matching: DataFrame
     resolved: dict[str, dt.date] = field(default_factory=dict)
+    names: dict[str, list[str]] = field(default_factory=dict)
 
     @property
     def total(self) -> DataFrame:
         return self.matching.agg(F.count("*").alias("total"))
 
+    @property
+    def entity_ids(self) -> DataFrame:
+        """The different records that the matching events belong to."""
+        return self.matching.select("entity_id").distinct()
+
     @property
     def evidence(self) -> DataFrame:
         return self.matching.select([c for c in self.matching.columns if c in self.rows.columns or c == "id"])
@@ -82,16 +98,38 @@ def later_statuses(wanted: list[str], implies: dict[str, list[str]]) -> list[str
     return found
 
 
+def with_groups(spec: QuerySpec, types: dict[str, TypeDef]) -> QuerySpec:
+    """The specification with phrases that stand for several values of a field read as these values."""
+    t = types.get(spec.entity_type)
+    if t is None or spec.source == "events" and not spec.record_filters:
+        return spec
+
+    def read(f: Filter) -> Filter:
+        groups = t.fields[f.field].groups if f.field in t.fields and f.op in ("eq", "ne") else {}
+        said = f.value if isinstance(f.value, list) else [f.value]
+        if not any(isinstance(v, str) and v.strip().lower() in groups for v in said):
+            return f
+        values = [x for v in said for x in (groups.get(v.strip().lower(), [v]) if isinstance(v, str) else [v])]
+        return Filter(f.field, f.op, list(dict.fromkeys(values)))
+
+    own = spec.filters if spec.source == "events" else [read(f) for f in spec.filters]
+    return replace(spec, filters=own, record_filters=[read(f) for f in spec.record_filters])
+
+
 class Planner:
     """Plans one specification over a book."""
 
     def __init__(self, book: Book, spec: QuerySpec | dict) -> None:
         self.book = book
-        self.spec = parse(spec) if isinstance(spec, dict) else spec
+        self.spec = with_groups(parse(spec) if isinstance(spec, dict) else spec, book.types)
         if found := problems(self.spec, book.types):
             raise SpecError(found)
         self.type = EVENT_TYPE if self.spec.source == "events" else book.types[self.spec.entity_type]
         self.resolved: dict[str, dt.date] = {}
+        #: Names and keys that were read as record ids.
+        self.read_names: dict[str, list[str]] = {}
+        if self.spec.source != "series":
+            self.spec = replace(self.spec, filters=self.with_ids(self.spec.filters, self.type))
         self.refs: dict[tuple[str, tuple[str, ...]], str] = {}
 
     # conditions
@@ -131,14 +169,58 @@ class Planner:
         return _COMPARE[f.op](c, self.literal(f.field, f.value, of))
 
     def named(self, kind: str, name: str) -> list[str]:
-        """Ids of the records called ``name`` (few; a name that several bear is asked back by the caller)."""
+        """Ids of the records that a name or identifier means, by the identity cascade. Records that share an identifier are
+        all meant; else a name that several bear, or that only resembles some, is asked back (AskBack). A name that nothing
+        resembles means no record."""
+        records = self.book.entities[kind]
+        if "retracted" in records.columns:
+            records = records.where(~F.coalesce("retracted", F.lit(False)))
+        spark = records.sparkSession
+        asked = spark.createDataFrame([(0, name)], "query_id int, query string")
+        marks = [f for f, d in self.book.types[kind].fields.items() if d.identifier and f in records.columns] if kind in self.book.types else []
         label = self.book.names.get(kind, "name")
-        rows = self.book.entities[kind].where(F.lower(F.trim(label)) == name.strip().lower()).select("id").limit(101).collect()
-        if not rows:
-            return ["\0"]
-        if len(rows) > 1:
-            raise SpecError([f"{len(rows)} records of type {kind} are called {name!r}"])
-        return [rows[0].id]
+        known = records.withColumn("id", F.col("id").cast("string"))
+        for mark in marks or [None]:
+            hit = identify(asked, known, mark, label if label in known.columns else None).first()
+            if hit.status == "match" or hit.status == "ambiguous" and hit.rule.startswith("identifier:"):
+                self.read_names[name] = hit.ids.split(",")
+                return self.read_names[name]
+            if hit.status == "ambiguous":
+                raise AskBack(f"{name!r} is what several records of type {kind} are called", hit.ids.split(","))
+        near = candidates(asked, known, 5, label).orderBy(F.desc("score"), "id").collect() if label in known.columns else []  # at most 5
+        if near:
+            raise AskBack(f"no record of type {kind} is called {name!r}", [r.id for r in near])
+        self.read_names[name] = []
+        return ["\0"]
+
+    def identified(self, f: Filter, kind: str) -> Filter:
+        """A filter on the id of a record of ``kind``, with values that are no ids read as source keys, else as names."""
+        said = f.value if isinstance(f.value, list) else [f.value]
+        records = self.book.entities[kind]
+        text = F.col("id").cast("string")
+        there = {r[0] for r in records.where(text.isin([str(v) for v in said])).select(text).distinct().collect()}  # as many as are asked for
+        ids: list[object] = []
+        for v in said:
+            if not isinstance(v, str) or v in there:
+                ids.append(v)
+                continue
+            keyed = [r.id for r in records.where(F.col("source_key") == v).select("id").orderBy("id").limit(1001).collect()] if "source_key" in records.columns else []
+            if not keyed:
+                keyed = [i for i in self.named(kind, v) if i != "\0"]
+            if not keyed:
+                raise AskBack(f"{v!r} is no id, source key or name of a record of type {kind}", [])
+            self.read_names[v] = keyed
+            ids += keyed
+        return Filter(f.field, f.op, ids[0] if len(ids) == 1 else ids)
+
+    def with_ids(self, filters: list[Filter], of: TypeDef) -> list[Filter]:
+        """Filters that compare ids of records name recorded ones."""
+        out = []
+        for f in filters:
+            kind = self.spec.entity_type if of is EVENT_TYPE and f.field == "entity_id" else of.fields[f.field].ref if of is not EVENT_TYPE and f.field in of.fields else None
+            texts = any(isinstance(v, str) for v in (f.value if isinstance(f.value, list) else [f.value]))
+            out.append(self.identified(f, kind) if kind in self.book.entities and f.op in ("eq", "ne") and texts else f)
+        return out
 
     def local_days(self, f: Filter) -> Column:
         """Instants of local days: a day is the range from its midnight to the next in the book's zone."""
@@ -282,11 +364,12 @@ class Planner:
             if f.field in t.key:
                 df = df.where(self.condition(f, t))
         for w in s.window:
+            if t.granularity != "day":
+                df = moving(df, list(t.key), t.time, w.measure, w.agg, w.size, w.unit, w.name)
+                continue
+            # a key has at most one point a day, so its whole history is a few tens of thousands of rows
             over = W.partitionBy(*t.key) if t.key else W.partitionBy(F.lit(0))
-            if w.unit == "points":
-                over = over.orderBy(t.time).rowsBetween(-(w.size - 1), 0)
-            else:
-                over = over.orderBy(F.unix_date(F.col(t.time).cast("date"))).rangeBetween(-(w.size - 1), 0)
+            over = over.orderBy(t.time).rowsBetween(-(w.size - 1), 0) if w.unit == "points" else over.orderBy(F.unix_date(F.col(t.time).cast("date"))).rangeBetween(-(w.size - 1), 0)
             df = df.withColumn(w.name, getattr(F, w.agg)(w.measure).over(over))
         for f in s.filters:
             if f.field not in t.key:
@@ -323,7 +406,7 @@ class Planner:
             for f in s.filters:
                 df = df.where(self.condition(f, self.type))
         if s.mode == "list":
-            return Answer("list", self.listed(df), df, self.resolved)
+            return Answer("list", self.listed(df), df, self.resolved, self.read_names)
         groups = [self.group_column(g) for g in s.group_by]
         names = [g.field if g.bucket == "none" else f"{g.field}_{g.bucket}" for g in s.group_by]
         matching = df.select("*", *[c for c, g in zip(groups, s.group_by) if g.bucket != "none"])
@@ -337,7 +420,7 @@ class Planner:
                 grouped = grouped.orderBy(F.col(by).desc() if s.descending else F.col(by).asc(), *names)
             else:
                 grouped = grouped.orderBy(*names)
-        return Answer(s.mode, grouped, matching, self.resolved)
+        return Answer(s.mode, grouped, matching, self.resolved, self.read_names)
 
     def listed(self, df: DataFrame) -> DataFrame:
         s, t = self.spec, self.type
@@ -354,7 +437,8 @@ class Planner:
         if s.source == "series":
             shown = s.list_fields or [*t.key, t.time, *t.measures, *(w.name for w in s.window)]
         elif s.source == "events":
-            shown = list(dict.fromkeys(["id", *(s.list_fields or ["entity_id", "kind", "to"])]))
+            every = ["seq", "entity_id", "entity_type", "kind", "to", "from", "payload", "at", "recorded_at", "by", "evidence", "target_event_id"]
+            shown = list(dict.fromkeys(["id", *(s.list_fields or [c for c in every if c in df.columns])]))
         else:
             default = [f for f, d in t.fields.items() if d.ref or f == "status"]
             shown = list(dict.fromkeys(["id", *(s.list_fields or default), *(v.name for v in s.values)]))

@@ -51,6 +51,11 @@ class FieldDef:
     implies: dict[str, list[str]] = made(default_factory=dict, hash=False)
     #: A date that is the day of an event: {"kind": "created"} or {"kind": "status_changed", "to": "viewed"}.
     event: dict[str, Any] | None = made(default=None, hash=False)
+    #: Phrases that mean several enum values.
+    groups: dict[str, list[str]] = made(default_factory=dict, hash=False)
+    #: Stored but not registered: the whole field, or some of its values.
+    draft: bool = False
+    draft_values: tuple[str, ...] = ()
 
     @property
     def is_date(self) -> bool:
@@ -72,6 +77,13 @@ class TypeDef:
     time: str | None = None
     granularity: str = "day"
     version: int = 1
+    description: str = ""
+    keywords: tuple[str, ...] = ()
+    #: The field a bare date refers to.
+    default_date: str | None = None
+    #: (other type, what connects them) and (vague word, how it is read by default).
+    relations: tuple[tuple[str, str], ...] = ()
+    vague: tuple[tuple[str, str], ...] = ()
 
     @property
     def measures(self) -> list[str]:
@@ -83,7 +95,7 @@ EVENT_TYPE = TypeDef(
     {
         "kind": FieldDef(enum=("created", "updated", "status_changed", "corrected", "retracted", "migrated")),
         "by": FieldDef(), "entity_type": FieldDef(), "entity_id": FieldDef(), "at": FieldDef(format="date-time"),
-        "evidence": FieldDef(), "to": FieldDef(), "from": FieldDef(),
+        "evidence": FieldDef(), "to": FieldDef(), "from": FieldDef(), "payload": FieldDef(), "recorded_at": FieldDef(format="date-time"), "target_event_id": FieldDef(),
     },
 )
 

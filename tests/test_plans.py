@@ -4,7 +4,8 @@ import pytest
 
 from recordweave.operators import imports, querylog, series, text
 from recordweave.operators.asof import asof_join
-from recordweave.functions.names import identify, normal_text
+from recordweave.functions import names as name_functions
+from recordweave.functions.names import candidates, identify, likeness, normal_name
 from recordweave.plans import reltime
 from recordweave.plans.planner import Book, ask, later_statuses
 from recordweave.plans.spec import FieldDef, SpecError, TypeDef, parse, problems
@@ -148,22 +149,48 @@ def test_log_retention_keeps_all_within_limits(spark):
 
 
 def test_chunks_of_a_mixed_note():
-    note = "---\na: 1\n---\n# Top\ntext one\ntwo\n\n- item\n  more\n- next\n\n## Sub\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\nx\n```\n"
-    assert [(k, p, a, b) for k, p, a, b, _ in text.chunks(note)] == [("front", "", 1, 3), ("paragraph", "Top", 5, 6), ("item", "Top", 8, 9), ("item", "Top", 10, 10), ("row", "Top > Sub", 15, 15), ("code", "Top > Sub", 17, 19)]
-    assert text.chunks("") == []
+    note = "\ufeff---\na: 1\n---\n# Top\ntext one\ntwo\n---\n\n- item\n  more\n- next\n\n## Sub\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\nx\n```\n### Low\n# Next\nend"
+    want = [("front", "", 1, 3), ("paragraph", "Top", 5, 7), ("item", "Top", 9, 10), ("item", "Top", 11, 11), ("row", "Top > Sub", 16, 16), ("code", "Top > Sub", 18, 20), ("paragraph", "Next", 23, 23)]
+    for text_of in (note, note.replace("\n", "\r\n"), note.replace("\n", "\r")):
+        found = text.chunks(text_of)
+        assert [(c.kind, c.path, c.first, c.last) for c in found] == want
+        assert found[4].header == "| a | b |" and found[2].text == "- item\n  more"
+    assert text.chunks("") == [] and text.chunks("```\nopen")[0].kind == "code"
 
 
 def test_numbers(spark):
-    df = spark.createDataFrame([("-1,200.5 and 3만 or 2억",)], "q string")
-    assert df.select(text.numbers(F.col("q"))).first()[0] == [-1200.5, 30000.0, 200000000.0]
+    df = spark.createDataFrame([("-1,200.5 and 3만 or 1.2억, −7 and ５０",)], "q string")
+    assert sorted(df.select(text.numbers(F.col("q"))).first()[0]) == [-1200.5, -7.0, 1.2, 3.0, 50.0, 30000.0, 120000000.0]
     assert df.select(text.number_in_quote(F.lit(30000.0), F.col("q"))).first()[0]
 
 
+def test_evidence(spark):
+    state = FieldDef(enum=("viewed", "passed"), labels={"viewed": ["열람"]})
+    cases = [
+        (FieldDef("number"), "12000", "cost 1.2만 won", None), (FieldDef("number"), "13", "cost 12", "number not in the quote"), (FieldDef("boolean"), "true", "yes", None), (FieldDef("boolean"), "true", " ", "empty quote"),
+        (FieldDef(format="date"), "2026-10-02", "10/2 (Fri)", None), (FieldDef(format="date"), "2026-10-02", "2025-10-02", "date not in the quote"), (FieldDef(format="date"), "2026-10-02", "26.10.02", None),
+        (state, "viewed", "담당자 열람함", None), (state, "viewed", "passed", "neither the value nor its labels are in the quote"), (FieldDef(), "Ａcme  corp", "by ACME Corp.", None), (FieldDef(), "Beta", "by Acme", "text not in the quote"),
+        (FieldDef("array"), '["a1", "7"]', "has A1 and 7", None), (FieldDef("array"), '["b"]', "has c", "items not in the quote"), (FieldDef(), None, "x", "no value or quote"),
+    ]
+    for d, value, quote, problem in cases:
+        row = spark.createDataFrame([(value, quote)], "v string, q string")
+        assert row.select(text.evidence_problem(d, F.col("v"), F.col("q"))).first()[0] == problem, (d, value, quote)
+
+
 def test_identity_cascade(spark):
-    assert normal_text("(주)가상테크(Gasang Tech)") == "가상테크"
-    assert normal_text("Example Labs Inc.") == "examplelabs"
-    assert normal_text("Princeton Co., Ltd.") == "princeton"
+    names = spark.createDataFrame([("(주)가상테크(Gasang Tech)",), ("Example Labs Inc.",), ("Princeton Co., Ltd.",), ("㈜Ａｌｐｈａ",), (None,), ("Coinc (Korea)",)], "n string")
+    assert [r[0] for r in names.select(normal_name("n")).collect()] == ["가상테크", "examplelabs", "princeton", "alpha", "", "coinckorea"]
     firms = spark.createDataFrame([("1", "Alpha Inc.", ["Beta"], "123-45-67890"), ("2", "Gamma", None, None), ("3", "gamma ltd", [], ""), (None, "x", None, None)], "id string, name string, aliases array<string>, business_number string")
-    asked = spark.createDataFrame([(1, "ALPHA"), (2, "beta corp"), (3, "Gamma"), (4, "delta"), (5, "Gamma 1234567890"), (6, None), (1, "ALPHA")], "query_id int, query string")
+    asked = spark.createDataFrame([(1, "ALPHA"), (2, "beta corp"), (3, "Gamma"), (4, "delta"), (5, "Gamma １２３４５６７８９０"), (6, None), (1, "ALPHA")], "query_id int, query string")
     got = {r.query_id: (r.status, r.ids) for r in identify(asked, firms).collect()}
     assert got == {1: ("match", "1"), 2: ("match", "1"), 3: ("ambiguous", "2,3"), 4: ("none", ""), 5: ("match", "1"), 6: ("none", "")}
+
+
+def test_candidates_equal_a_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(name_functions, "QUERY_BLOCK", 2)
+    firms = spark.createDataFrame([("1", "Alphabet", ["Abece"]), ("2", "Alphabat Inc.", None), ("3", "Gamma", []), ("4", None, None)], "id string, name string, aliases array<string>")
+    asked = spark.createDataFrame([(1, "alphbet"), (2, "Gamma Ray"), (3, "zzz"), (4, None), (5, "abec")], "query_id int, query string")
+    got = {(r.query_id, r.id): round(r.score, 3) for r in candidates(asked, firms).collect()}
+    keys = {"1": ["alphabet", "abece"], "2": ["alphabat"], "3": ["gamma"]}
+    want = {(q, i): round(max(likeness(k, n) for k in ks), 3) for q, n in ((1, "alphbet"), (2, "gammaray"), (3, "zzz"), (5, "abec")) for i, ks in keys.items()}
+    assert got == {k: v for k, v in want.items() if v >= 0.7} and len(got) == 4
