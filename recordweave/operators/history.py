@@ -90,3 +90,8 @@ def payload_problems(events: DataFrame) -> DataFrame:
         .when((F.col("kind") == "retracted") & ~has("target"), "not {} or {target}")
     )
     return events.select(F.col("id").alias("event_id"), problem.alias("problem")).where("problem is not null").distinct()
+
+
+def first_changes(events: DataFrame) -> DataFrame:
+    """entity_id, first_seq of every record with changes."""
+    return events.groupBy("entity_id").agg(F.min("seq").alias("first_seq"))

@@ -177,3 +177,16 @@ def judged_kind(rows: DataFrame) -> dict[str, object]:
         kind = "series"
     question = None if kind else f"Are these values that pile up over {time}, or records that are kept one by one?"
     return {"kind": kind, "signals": told, "question": question, "measures": numbers if kind == "series" else []}
+
+
+def latest_definitions(schemas: DataFrame) -> DataFrame:
+    """name, version, definition of the last version of every type, and how many versions it has; of a version registered
+    again the first registration counts."""
+    first = schemas.groupBy("name", F.col("version").cast("long").alias("version")).agg(F.min_by("definition", "created_at").alias("definition"))
+    return first.groupBy("name").agg(F.max("version").alias("version"), F.max_by("definition", "version").alias("definition"), F.count("*").alias("versions"))
+
+
+def view_summary(records: DataFrame) -> DataFrame:
+    """Per type: live and retracted records, and the last update. records: type, retracted, updated_at."""
+    gone = F.coalesce("retracted", F.lit(False))
+    return records.groupBy("type").agg(F.sum((~gone).cast("long")).alias("live"), F.sum(gone.cast("long")).alias("retracted"), F.max("updated_at").alias("updated"))
