@@ -16,10 +16,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordweave.runtime import materialise, ship
+from recordweave.runtime import materialise, ship, ship_file
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split of texts before byte-pair merges that belongs to the vocabulary.
@@ -40,8 +41,10 @@ def encoder(vocabulary: str):
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens) of every document with an id; null and empty texts have 0 tokens."""
 
+    shipped = ship_file(documents.sparkSession, vocabulary)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
+        enc = encoder(SparkFiles.get(shipped))
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "tokens": [len(enc.encode_to_numpy(t)) if t else 0 for t in pdf["text"]]})
 
@@ -131,7 +134,8 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
     spark = documents.sparkSession
     ship(spark)
     classes = [(r.container_class, int(r.capacity_tokens)) for r in containers.where("container_class is not null and capacity_tokens > 0").distinct().collect()]  # a handful
-    counted = materialise(token_counts(documents, vocabulary), "token-counts")
+    # rows are dealt by id and place, so that no number of rows of one id ends up in one block
+    counted = materialise(token_counts(documents, vocabulary).withColumn("deal", F.xxhash64("doc_id", F.monotonically_increasing_id())), "token-counts")
     blocks = max(1, -(-counted.count() // BLOCK_DOCUMENTS))
     schema = "container_class string, container_id string, doc_id long, first_token long, tokens long"
     if not classes:
@@ -157,5 +161,5 @@ def pack(documents: DataFrame, containers: DataFrame, vocabulary: str = VOCABULA
         })
 
     sizes = F.explode(F.array(*[F.struct(F.lit(n).alias("container_class"), F.lit(c).alias("capacity_tokens")) for n, c in classes])).alias("c")
-    dealt = counted.where("tokens > 0").select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), sizes).select("doc_id", "tokens", "block", "c.*")
+    dealt = counted.where("tokens > 0").select("doc_id", "tokens", F.pmod("deal", F.lit(blocks)).alias("block"), sizes).select("doc_id", "tokens", "block", "c.*")
     return dealt.groupBy("container_class", "block").applyInPandas(fill, schema)

@@ -58,3 +58,14 @@ def test_empty(spark):
     classes = spark.createDataFrame([("s", 64)], CONTAINERS)
     assert pack(docs, classes).count() == 0
     assert pack(spark.createDataFrame([(1, "a")], docs.schema), classes.limit(0)).count() == 0
+
+
+def test_many_rows_of_one_id_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_DOCUMENTS", 50)
+    docs = spark.range(400).selectExpr("7L AS doc_id", "'some words of a text' AS text")
+    boxes = spark.createDataFrame([("c", 64)], "container_class string, capacity_tokens int")
+    out = packing.pack(docs, boxes).collect()
+    sizes = {}
+    for r in out:
+        sizes[r.container_id] = sizes.get(r.container_id, 0) + r.tokens
+    assert len(out) == 400 and max(sizes.values()) <= 64 and len({i.split("-")[0] for i in sizes}) == 8
