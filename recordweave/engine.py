@@ -27,6 +27,7 @@ from recordweave.plans.spec import QuerySpec, SpecError, TypeDef, parse
 from recordweave.runtime import materialise
 from recordweave.sources.store import Commit, Store
 from recordweave.sources.tables import read_schema_files, read_text_folder
+from recordweave.sources.views import write_views
 
 FEED = "id string, entity_id string, entity_type string, kind string, payload string, at string, recorded_at string, recorded_by string, evidence string, target_event_id string, at_precision string"
 ENTITIES = "id string, type string, doc string, retracted boolean, created_at string, updated_at string, last_event_seq long, reached array<string>"
@@ -356,8 +357,14 @@ class Engine:
 
     # asking
 
-    def book(self) -> Book:
-        entity_types = [t for t in self.types.values() if t.kind == "entity"]
+    def book(self, drafts: bool = False) -> Book:
+        """What can be asked; with ``drafts`` also fields and values that are stored but not registered yet."""
+        types = dict(self.types)
+        if drafts:
+            stored = [r.asDict() for r in profile.draft_fields(self.entities, self.events, types).collect()]  # one row per unregistered field
+            stray = [r.asDict() for r in profile.stray_values(self.entities, types).limit(1_000).collect()]
+            types = {n: proposals.with_drafts(t, stored, stray) if t.kind == "entity" else t for n, t in types.items()}
+        entity_types = [t for t in types.values() if t.kind == "entity"]
         events = self.events
         applied = F.lit(True)
         voids = events.where("kind = 'retracted' and target_event_id is not null").select(F.col("target_event_id").alias("id"), F.lit(True).alias("_void")).distinct()
@@ -366,22 +373,22 @@ class Engine:
             F.substring("at", 1, 10).try_cast("date").alias("local_day"), F.col("recorded_by").alias("by"), "evidence", "target_event_id", F.coalesce("at_precision", F.lit("time")).alias("at_precision"), (applied & F.col("_void").isNull()).alias("applied"),
         )
         return Book(
-            dict(self.types), {t.name: self.typed(t, True) for t in entity_types}, log, {t.name: self._points(t) for t in self.types.values() if t.kind == "series"}, self.now, self.zone,
+            types, {t.name: self.typed(t, True) for t in entity_types}, log, {t.name: self._points(t) for t in self.types.values() if t.kind == "series"}, self.now, self.zone,
             {t.name: "name" if "name" in t.fields else "title" for t in entity_types if "name" in t.fields or "title" in t.fields},
         )
 
-    def query(self, question: str = "", spec: dict[str, Any] | QuerySpec | None = None, by: str | None = None) -> Reply:
+    def query(self, question: str = "", spec: dict[str, Any] | QuerySpec | None = None, by: str | None = None, drafts: bool = False) -> Reply:
         """Answers a question, or a specification without reading the question; every call is logged."""
         began = dt.datetime.now()
-        reply, path = self._asked(question, spec)
+        reply, path = self._asked(question, spec, drafts)
         took = (dt.datetime.now() - began).total_seconds() * 1000
         self._log(question, path, reply, by, took)
         return reply
 
-    def _asked(self, question: str, spec: dict[str, Any] | QuerySpec | None) -> tuple[Reply, str]:
+    def _asked(self, question: str, spec: dict[str, Any] | QuerySpec | None, drafts: bool) -> tuple[Reply, str]:
         if spec is None and question.strip() and (found := self.get_entity(question.strip())):
             return Reply("answered", text=json.dumps(found["doc"], ensure_ascii=False), id=found["id"]), "entity"
-        book, path = self.book(), "structured"
+        book, path = self.book(drafts), "structured"
         try:
             if spec is None:
                 certain = lambda kind, phrase: kind in book.entities and self.resolve(kind, phrase)[0] == "match"
@@ -430,6 +437,12 @@ class Engine:
         self.store.commit(Commit(replaced={"log": kept}), state)
         return gone
 
+    # views
+
+    def write_views(self, folder: str) -> None:
+        """The readable tables of the book, replaced as a whole (see ``sources.views``)."""
+        write_views(self.book(), folder, self.events, self.stamp())
+
     # series
 
     def _points(self, t: TypeDef) -> DataFrame:

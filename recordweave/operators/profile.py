@@ -15,6 +15,7 @@ from recordweave.operators.drift import json_type
 from recordweave.operators.feed import JSON_MAP
 from recordweave.plans.spec import TypeDef
 
+# How many values a field may have to be listed, points a series key has, samples, likeness of names, names of statuses.
 MAX_OBSERVED = 12
 MIN_POINTS = 5
 SAMPLES = 5

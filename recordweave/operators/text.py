@@ -14,6 +14,7 @@ from recordweave.functions.names import compatible
 from recordweave.plans.spec import FieldDef
 from recordweave.runtime import ship
 
+# What makes a heading, a list item and the rule under a table's header, and the units of large numbers.
 _HEADING = re.compile(r"(#{1,6})\s+(.*)")
 _ITEM = re.compile(r"\s{0,3}(?:[-*+]|\d{1,3}[.)])\s+")
 _RULE = re.compile(r"\|?\s*:?-{3,}.*")

@@ -30,8 +30,3 @@ def read_text_folder(spark: SparkSession, path: str, exclude: tuple[str, ...] =
     base = pathlib.PurePosixPath(urlparse(path).path or path)
     named = raw.select(F.regexp_replace(F.col("_metadata.file_path"), f"^.*?{base.as_posix()}/?", "").alias("name"), F.col("value").alias("text"))
     return functools.reduce(lambda df, n: df.where(F.col("name") != n), exclude, named)
-
-
-def write_flat(df: DataFrame, path: str) -> None:
-    """Replace the flat parquet table at ``path``."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordweave.operators.profile import view_summary
 from recordweave.plans.planner import Book
 from recordweave.plans.spec import FieldDef
-from recordweave.sources.tables import write_flat
+from recordweave.sources.store import Commit, Store
 
 
 def shown(name: str, d: FieldDef) -> Column:
@@ -43,7 +46,20 @@ def flat_view(book: Book, kind: str) -> DataFrame:
     return rows.select(*columns, (F.coalesce(*label) if label else F.lit(None).cast("string")).alias("label"))
 
 
-def write_views(book: Book, folder: str) -> None:
-    """A flat table per entity type under ``folder``, each replacing the one before it."""
-    for kind in book.entities:
-        write_flat(flat_view(book, kind), f"{folder}/{kind}.parquet")
+def write_views(book: Book, folder: str, events: DataFrame | None = None, stamp: str = "") -> Store:
+    """The readable tables of a book under ``folder``: one flat table per entity type, ``_summary`` (per type live and retracted
+    records and the last update), ``_fields`` (the dictionary), ``_history`` (the changes) and ``_meta`` (when they were
+    written). One commit replaces all of them, so a reader sees the old tables or the new ones; read them with the store."""
+    spark = next(iter(book.entities.values())).sparkSession
+    tables = {kind: flat_view(book, kind) for kind in book.entities}
+    parts = [df.select(F.lit(kind).alias("type"), *(F.col(c) if c in df.columns else F.lit(None).alias(c) for c in ("retracted", "updated_at"))) for kind, df in book.entities.items()]
+    summary = reduce(DataFrame.unionByName, [p.select("type", F.col("retracted").cast("boolean").alias("retracted"), F.col("updated_at").cast("string").alias("updated_at")) for p in parts])
+    tables["_summary"] = view_summary(summary)
+    fields = [(t.name, n, d.type, d.format, d.ref, ", ".join(d.enum), d.description) for t in book.types.values() for n, d in t.fields.items()]
+    tables["_fields"] = spark.createDataFrame(fields or [("", "", "", None, None, "", "")], "type string, field string, kind string, format string, refers_to string, allowed string, description string")
+    if events is not None:
+        tables["_history"] = events
+    tables["_meta"] = spark.createDataFrame([("written_at", stamp), ("types", str(len(book.entities)))], "key string, value string")
+    store = Store(spark, folder)
+    store.commit(Commit(replaced=tables), store.state())
+    return store

@@ -151,6 +151,31 @@ def test_text_is_taken_in_and_back(engine, spark):
     assert engine.ingest_revert(said.id, "ann").status == "recorded" and engine.count("application") == before
 
 
+def test_drafts_views_and_folders(engine, spark, tmp_path):
+    if engine.get_entity("app_1") is None:
+        engine.record({"entity_type": "application", "entity_id": "app_1", "payload": {"company_id": "co_1"}}, "ann")
+    engine.record({"entity_type": "application", "entity_id": "app_5", "payload": {"company_id": "co_1", "mood": "good"}}, "ann")
+    asked = {"entity_type": "application", "mode": "count", "filters": [{"field": "mood", "op": "eq", "value": "good"}]}
+    assert engine.query(spec=asked).status == "rejected"
+    said = engine.query(spec=asked, drafts=True)
+    assert said.seen.total == 1 and any("no mood (not registered yet)" in n for n in said.seen.notes)
+    engine.write_views(f"file://{tmp_path}/views")
+    engine.write_views(f"file://{tmp_path}/views")
+    views = Store(spark, f"file://{tmp_path}/views")
+    assert {r.type: r.live for r in views.table("_summary").collect()}["company"] == engine.count("company")
+    assert {r.company for r in views.table("application").where("id = 'app_5'").collect()} == {"Alpha Inc."}
+    assert views.table("_history").count() == engine.events.count() and views.table("_fields").where("type = 'price'").count() == 3 and views.table("_meta").count() == 2
+    (tmp_path / "types").mkdir()
+    (tmp_path / "types" / "b.json").write_text(json.dumps({"name": "person", "version": 3, "fields": {"name": {"type": "string"}}}))
+    assert engine.register_folder(str(tmp_path / "types")) == ["person"] and engine.register_folder(str(tmp_path / "types")) == []
+    (tmp_path / "notes" / "deep").mkdir(parents=True)
+    for name, body in (("a.md", "# A\ntext"), ("deep/b.txt", "more"), ("c.md", "skipped"), ("d.csv", "x")):
+        (tmp_path / "notes" / name).write_text(body)
+    none = lambda chunks: chunks.select("span_id", F.lit("person").alias("type"), F.lit("name").alias("field"), F.lit("x").alias("value"), F.col("chunk").alias("quote")).limit(0)
+    preview = engine.ingest_preview(f"file://{tmp_path}/notes", none, {"person": ["name"]}, ("c.md",))
+    assert {(r.name, r.chunk) for r in preview["chunks"].collect()} == {("a.md", "text"), ("deep/b.txt", "more")} and preview["records"].count() == 0
+
+
 def test_chunks_are_classified_and_types_settled(spark):
     chunks = spark.createDataFrame([(f"s{i}", c) for i, c in enumerate(["bought a share"] * 3 + ["ran five km", "ran ten km", "ran a km", "cooked rice", "nothing", "bought and ran"])], "span_id string, chunk string")
     got = {r.span_id: r.type for r in ingest.classified(chunks, ingest.by_words({"trade": ["bought"], "run": ["ran"], "meal": ["cooked"]}), 2).collect()}
