@@ -18,20 +18,17 @@ SELECT id, entity_type, period,
        CASE WHEN rec_us < end_us THEN 0
             ELSE greatest(1, ((rec_us - end_us) + 86399999999) div 86400000000) END AS revision
 FROM (
-  SELECT id, entity_type, rec_us, at_us - pmod(at_us, 86400000000) + 86400000000 AS end_us,
+  SELECT id, r.entity_type, unix_micros(try_cast(r.recorded_at AS timestamp)) AS rec_us,
+         at_us - pmod(at_us, 86400000000) + 86400000000 AS end_us,
          cast(date_from_unix_date(cast((at_us - pmod(at_us, 86400000000)) div 86400000000 AS int)) AS string) AS period
   FROM (
-    SELECT id, r.entity_type,
-           CASE WHEN r.at RLIKE :zoned THEN unix_micros(try_cast(r.at AS timestamp)) END AS at_us,
-           CASE WHEN r.recorded_at RLIKE :zoned THEN unix_micros(try_cast(r.recorded_at AS timestamp)) END AS rec_us
-    FROM (
-      SELECT id, min_by(struct(entity_type, recorded_at, at_precision, at), struct(seq, recorded_at)) AS r
-      FROM {events} WHERE id IS NOT NULL AND seq IS NOT NULL GROUP BY id
-    )
-    WHERE r.at_precision = 'time'
+    SELECT id, min_by(struct(entity_type, recorded_at, at_precision, at), struct(seq, recorded_at)) AS r,
+           unix_micros(try_cast(min_by(at, struct(seq, recorded_at)) AS timestamp)) AS at_us
+    FROM {events} WHERE id IS NOT NULL AND seq IS NOT NULL GROUP BY id
   )
+  WHERE r.at_precision = 'time' AND at_us IS NOT NULL AND r.at RLIKE :zoned AND r.recorded_at RLIKE :zoned
 )
-WHERE rec_us IS NOT NULL AND end_us IS NOT NULL
+WHERE rec_us IS NOT NULL
 """
 
 _TRIANGLE = """
