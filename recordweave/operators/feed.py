@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordweave.functions.times import instant_us
+from recordweave.functions.times import ZONED, instant_us
 
 DATA_KINDS = ("created", "updated", "status_changed", "migrated")
 META_KINDS = ("corrected", "retracted")
@@ -23,9 +23,9 @@ JSON_MAP = "map<string,string>"
 
 def readable(events: DataFrame) -> DataFrame:
     """The addressable rows with ``at_us`` and ``rec_us``; a null precision counts as exact time."""
-    rows = events.select(
+    rows = events.where(F.col("at").rlike(ZONED)).select(  # tested here, so that the filter below repeats only the cast
         "id", "entity_id", "entity_type", "kind", "payload", F.col("seq").cast("long").alias("seq"),
-        instant_us(F.col("at")).alias("at_us"), instant_us(F.col("recorded_at")).alias("rec_us"),
+        F.unix_micros(F.col("at").try_cast("timestamp")).alias("at_us"), instant_us(F.col("recorded_at")).alias("rec_us"),
         F.coalesce("at_precision", F.lit("time")).alias("at_precision"),
         F.when(F.col("target_event_id") != "", F.col("target_event_id")).alias("target_event_id"),
     )
